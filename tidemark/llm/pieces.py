@@ -16,10 +16,13 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +32,8 @@ from .common import require, worker_state
 SPACE = "▁"
 #: Distinct parts that a Python worker remembers in each of two generations, and the longest part remembered.
 REMEMBERED, LONGEST = 250_000, 48
+#: Parts of up to so many characters have their agenda in a list; NEVER is the cost of a pair that is no piece.
+SHORT, NEVER = 40, float("inf")
 
 
 class Agenda:
@@ -39,11 +44,13 @@ class Agenda:
 
         self.library = lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         usable = [i for i in range(lib.get_piece_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i))]
-        self.pieces = {lib.id_to_piece(i): (-lib.get_score(i), i) for i in usable}
+        self.ids = {lib.id_to_piece(i): i for i in usable}
+        self.costs = {lib.id_to_piece(i): -lib.get_score(i) for i in usable}
+        self.cost = self.costs.get
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if not all(lib.is_byte(i) for i in self.bytes):
             raise ValueError("the vocabulary has no byte pieces")
-        longer = [p for p in self.pieces if len(p) > 1]
+        longer = [p for p in self.ids if len(p) > 1]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in longer):
             raise ValueError("a piece holds a space after another character; texts can't be cut at spaces")
         inner = set("".join(longer))
@@ -52,20 +59,51 @@ class Agenda:
             raise ValueError("a longer piece holds a line break")
         s = re.escape(alone)
         self.parts = re.compile(f"{SPACE}+[^{SPACE}{s}]*|[{s}]|[^{SPACE}{s}]+").findall
+        self.words: dict[str, tuple] = {}
+        self.old_words: dict[str, tuple] = {}
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        self.fresh: dict[str, tuple] = {}
         for probe in ("a", " a  b\t1\n", "Ab1é中\U0001f600 x"):
             self.compare(probe, self.text_ids(probe))
 
     def merged(self, part: str) -> list[int]:
         """The ids of one part."""
-        found, symbols = self.pieces, list(part)
+        found, ids = self.ids, []
+        for s in self.short(list(part)) if len(part) <= SHORT else self.long(list(part)):
+            got = found.get(s)
+            if got is not None:
+                ids.append(got)
+            else:
+                ids.extend([self.bytes[b] for b in s.encode()])
+        return ids
+
+    def short(self, symbols: list[str]) -> list[str]:
+        """The agenda of a short part is a plain list, where finding the best pair by a scan beats a heap."""
+        cost = self.cost
+        agenda = [cost(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            pair = symbols[i] + symbols.pop(i + 1)
+            symbols[i] = pair
+            del agenda[i]
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + pair, NEVER)
+            if i < len(agenda):
+                agenda[i] = cost(pair + symbols[i + 1], NEVER)
+        return symbols
+
+    def long(self, symbols: list[str | None]) -> list[str]:
+        found = self.costs
         n = len(symbols)
         after, before, agenda = list(range(1, n + 1)), list(range(-1, n - 1)), []
         for i in range(n - 1):
             pair = symbols[i] + symbols[i + 1]
             if pair in found:
-                agenda.append((found[pair][0], i, pair))
+                agenda.append((found[pair], i, pair))
         heapq.heapify(agenda)
         pop, push = heapq.heappop, heapq.heappush
         while agenda:
@@ -79,59 +117,64 @@ class Agenda:
                 before[k] = i
                 both = pair + symbols[k]
                 if both in found:
-                    push(agenda, (found[both][0], i, both))
+                    push(agenda, (found[both], i, both))
             h = before[i]
             if h >= 0:
                 both = symbols[h] + pair
                 if both in found:
-                    push(agenda, (found[both][0], h, both))
-        ids: list[int] = []
-        for s in symbols:
-            if s is not None:
-                got = found.get(s)
-                if got is not None:
-                    ids.append(got[1])
-                else:
-                    ids.extend(self.bytes[b] for b in s.encode())
-        return ids
+                    push(agenda, (found[both], h, both))
+        return [s for s in symbols if s is not None]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """For each text its ids, and the same joined by commas; the batch's new parts are checked at the end."""
-        fresh: dict[str, tuple] = {}
+        first, second = itemgetter(0), itemgetter(1)
         for text in texts:
             if not text:
                 yield [], ""
                 continue
-            ids, joined = [], []
-            for part in self.parts(SPACE + text.replace(" ", SPACE)):
-                got = self.new.get(part)
-                if got is None:
-                    got = self.remember(part, fresh)
-                ids += got[0]
-                joined.append(got[1])
-            yield ids, ",".join(joined)
-        self.check(fresh)
-
-    def remember(self, part: str, fresh: dict[str, tuple]) -> tuple:
-        got = self.old.get(part)
+            if "  " in text or text[0] == " " or text[-1] == " ":
+                found = [self.part(p) for p in self.parts(SPACE + text.replace(" ", SPACE))]
+            else:
+                words = text.split(" ")
+                found = list(map(self.words.get, words))
+                if None in found:
+                    found = [got or self.word(w) for got, w in zip(found, words)]
+            yield list(chain.from_iterable(map(first, found))), ",".join(map(second, found))
+        self.check()
+
+    def word(self, word: str) -> tuple:
+        """What stands between two single spaces, with the space before it."""
+        got = self.words.get(word) or self.old_words.get(word)
+        if got is None:
+            parts = self.parts(SPACE + word)
+            found = [self.part(p) for p in parts]
+            got = found[0] if len(found) == 1 else (tuple(chain.from_iterable(f[0] for f in found)), ",".join(f[1] for f in found))
+        if len(word) <= LONGEST:
+            if len(self.words) >= REMEMBERED:
+                self.old_words, self.words = self.words, {}
+            self.words[word] = got
+        return got
+
+    def part(self, part: str) -> tuple:
+        got = self.new.get(part) or self.old.get(part)
         if got is None:
             ids = tuple(self.merged(part))
-            got = fresh[part] = (ids, ",".join(map(str, ids)))
-            if len(fresh) >= 50_000:
-                self.check(fresh)
-        if len(part) <= LONGEST:
-            if len(self.new) >= REMEMBERED:
+            got = self.fresh[part] = (ids, ",".join(map(str, ids)))
+            if len(self.fresh) >= 50_000:
+                self.check()
+        if part[0] != SPACE and len(part) <= LONGEST or part == SPACE:  # the others are remembered as words
+            if len(self.new) >= REMEMBERED // 4:
                 self.old, self.new = self.new, {}
             self.new[part] = got
         return got
 
-    def check(self, fresh: dict[str, tuple]) -> None:
-        """Compare parts with the library, each behind a line break, which takes two ids of its own."""
+    def check(self) -> None:
+        """Compare new parts with the library, each behind a line break, which takes two ids of its own."""
+        fresh, self.fresh = self.fresh, {}
         parts = list(fresh)
         for part, want in zip(parts, self.library.encode(["\n" + p.replace(SPACE, " ") for p in parts], num_threads=1)):
             if tuple(want[2:]) != fresh[part][0]:
                 raise AssertionError(f"the library encodes {part!r} as {want[2:]}, not {fresh[part][0]}")
-        fresh.clear()
 
     def text_ids(self, text: str) -> list[int]:
         return next(iter(self.encode([text])))[0]
@@ -146,6 +189,7 @@ def agenda(model: bytes) -> Agenda:
     """The worker's encoder for these model bytes."""
     state, key = worker_state(), ("agenda", sha256(model).hexdigest())
     if key not in state:
+        gc.disable()  # remembered parts are millions of small tuples without cycles
         state[key] = Agenda(model)
     return state[key]
 
