@@ -106,3 +106,28 @@ def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns missing: {', '.join(missing)}; there are {', '.join(df.columns)}")
+
+
+def with_computed(df: DataFrame, text_col: str, keep: list[str], fn, schema: str) -> DataFrame:
+    """The columns keep of df plus those that fn computes from the Arrow array of the text column, in whole batches.
+
+    fn: iterator of (rows, text array) -> iterator of (rows, [arrays]), where rows is a list of Arrow arrays that it
+    passes on unchanged, possibly for several batches joined. A kept column named like a computed one is left out.
+    """
+    from pyspark.sql import types as T
+
+    new = T.StructType.fromDDL(schema)
+    keep = [c for c in keep if c not in new.names]
+    slim = df.select(df[text_col].cast("string").alias("_text"), *[df[c].alias(f"_k{i}") for i, c in enumerate(keep)])
+
+    def run(batches):
+        import pyarrow as pa
+
+        pairs = ((b.columns[1:], b.column(0)) for b in batches)
+        for rows, made in fn(pairs):
+            yield pa.RecordBatch.from_arrays([*rows, *made], names)
+
+    out = T.StructType([T.StructField(f"_k{i}", df.schema[c].dataType, True) for i, c in enumerate(keep)] + list(new))
+    names = out.names
+    got = slim.mapInArrow(run, out)
+    return got.select(*[got[f"_k{i}"].alias(c) for i, c in enumerate(keep)], *[got[n] for n in new.names])
