@@ -19,6 +19,14 @@ def tokenizer_model() -> bytes:
     return Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents")
+    rows = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import mark
 
@@ -43,7 +51,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontamination, op6_quality_rules, op10_sentencepiece)}
+    return {f.__name__: f for f in (op2_toxicity, op5_decontamination, op6_quality_rules, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
