@@ -40,6 +40,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import grouped
+
+    return grouped(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
@@ -88,7 +94,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op4_warc, op5_decontamination, op6_quality_rules, op7_sharding, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_ngram_jaccard, op4_warc, op5_decontamination, op6_quality_rules, op7_sharding, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
