@@ -87,6 +87,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    rows = dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_decode
 
@@ -94,7 +101,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_ngram_jaccard, op4_warc, op5_decontamination, op6_quality_rules, op7_sharding, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_ngram_jaccard, op4_warc, op5_decontamination, op6_quality_rules, op7_sharding, op8_line_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
