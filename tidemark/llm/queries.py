@@ -94,6 +94,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE, as_text, find
+
+    rows = find(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return rows.select("doc_id", *map(count, BASE), F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_decode
 
@@ -101,7 +112,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_ngram_jaccard, op4_warc, op5_decontamination, op6_quality_rules, op7_sharding, op8_line_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_ngram_jaccard, op4_warc, op5_decontamination, op6_quality_rules, op7_sharding, op8_line_dedup, op9_pii, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
