@@ -24,10 +24,11 @@ from hashlib import sha256
 from itertools import chain
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import require, worker_state
+from .common import require, with_computed, worker_state
 
 SPACE = "▁"
 #: Distinct parts that a Python worker remembers in each of two generations, and the longest part remembered.
@@ -194,43 +195,43 @@ def agenda(model: bytes) -> Agenda:
     return state[key]
 
 
-def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """Encode and decode every text: (id, ids array<int>, decoded string), or with digests (id, n_tokens, ids_sha256,
-    decoded_sha256), which keeps the long arrays out of the result."""
+def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", lists: bool = True, digests: bool = False) -> DataFrame:
+    """Encode and decode every text: id and n_tokens; with lists ids array<int> and decoded string; with digests
+    ids_sha256 (of the ids joined by commas) and decoded_sha256."""
     require(docs, id_col, text_col)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = dict(docs.dtypes)[id_col]
+    schema = "n_tokens long" + ", ids array<int>, decoded string" * lists + ", ids_sha256 string, decoded_sha256 string" * digests
 
-    def run(batches):
+    def fn(pairs):
         enc = agenda(shipped.value)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            counts, lists, ids_of, decoded = [], [], [], []
+        for rows, column in pairs:
+            texts = [x or "" for x in column.to_pylist()]
+            counts, flat, sums, decoded = [], [], [], []
             todo: list[list[int]] = []
 
             def decode():
-                for out in enc.library.decode(todo, num_threads=1) if todo else []:
-                    decoded.append(sha256(out.encode()).hexdigest() if digests else out)
-                todo.clear()
+                if todo:
+                    flat.append(np.concatenate([np.array(ids, np.int32) for ids in todo])) if lists else None
+                    got = enc.library.decode(todo, num_threads=1)
+                    decoded.extend(got if lists else [sha256(x.encode()).hexdigest() for x in got])
+                    todo.clear()
 
             for k, (ids, joined) in enumerate(enc.encode(texts)):
                 if k == 0:
                     enc.compare(texts[0], ids)
-                todo.append(ids)
+                counts.append(len(ids))
                 if digests:
-                    counts.append(len(ids))
-                    ids_of.append(sha256(joined.encode()).hexdigest())
-                else:
-                    lists.append(ids)
+                    sums.append(sha256(joined.encode()).hexdigest())
+                todo.append(ids)
                 if len(todo) >= 64:
                     decode()
             decode()
-            keys = batch.column(0)
+            made = [pa.array(counts, pa.int64())]
+            if lists:
+                offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                made += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))), pa.array(decoded, pa.string())]
             if digests:
-                yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64()), pa.array(ids_of, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                yield pa.RecordBatch.from_arrays([keys, pa.array(lists, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+                made += [pa.array(sums, pa.string()), pa.array([sha256(x.encode()).hexdigest() for x in decoded] if lists else decoded, pa.string())]
+            yield rows, made
 
-    shape = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return slim.mapInArrow(run, f"id {id_type}, {shape}").withColumnRenamed("id", id_col)
+    return with_computed(docs, text_col, [id_col], fn, schema)

@@ -108,7 +108,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_decode
 
-    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_model(), digests=True)
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_model(), lists=False, digests=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
