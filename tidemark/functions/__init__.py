@@ -1 +1 @@
-
+"""Column functions: keys, tagged values, checksums and filter sizes."""

@@ -1 +1 @@
-
+"""Operators over changelogs, runs and file metadata."""

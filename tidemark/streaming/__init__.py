@@ -1 +1 @@
-
+"""Continuous ingest and the latest view of a stream."""
