@@ -116,4 +116,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others (a classifier, seeded shuffles, boosted trees, an encoder) are tested against plain versions."""
+    from . import oracles
+
+    return {
+        "op1_url_filters": oracles.url_filters(URL_RULES),
+        "op3_ngram_jaccard": oracles.NGRAM_JACCARD,
+        "op4_warc": oracles.WARC,
+        "op5_decontamination": oracles.DECONTAMINATION,
+        "op6_quality_rules": oracles.QUALITY,
+        "op8_line_dedup": oracles.LINE_DEDUP,
+    }
