@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bloom, codec
 from ..functions.keys import DELETE, PUT, int_key, value_of
-from ..operators import merge, policy, read
+from ..operators import merge, policy
 from ..operators.segment import segments
 from ..sources import log, manifest
 from ..streaming.ingest import latest_stream
@@ -29,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, seq, op, value) with a plain double as value: columns of fixed width, so the merge hashes."""
+def oplog(spark: SparkSession, sf_dir: str, users=None) -> DataFrame:
+    """(key, seq, op, value) with a plain double as value: columns of fixed width, so the merge hashes.
+
+    users: a predicate on user_id. The key keeps its order, so a range of keys is a range of ids, which Parquet can use."""
     e = table(spark, sf_dir, "events")
+    e = e if users is None else e.where(users)
     return e.select(int_key(F.col("user_id")).alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("gone"), "value")
 
 
@@ -52,12 +55,12 @@ def kv_latest(spark, sf_dir):
 
 
 def kv_get(spark, sf_dir):
-    return shown(newest(oplog(spark, sf_dir).where(F.col("key") == int_key(F.lit(GET)))))
+    return shown(newest(oplog(spark, sf_dir, F.col("user_id") == GET)))
 
 
 def kv_get_deleted(spark, sf_dir):
     """A key right after its newest delete: the log up to there has no live row of it."""
-    rows = oplog(spark, sf_dir).where(F.col("key") == int_key(F.lit(DELETED)))
+    rows = oplog(spark, sf_dir, F.col("user_id") == DELETED)
     upto = rows.where("gone").agg(F.max("seq").alias("upto"))
     return shown(newest(rows.join(F.broadcast(upto), F.col("seq") <= F.col("upto")).drop("upto")))
 
@@ -69,13 +72,11 @@ def kv_multi_get(spark, sf_dir):
 
 
 def kv_scan_range(spark, sf_dir):
-    rows = oplog(spark, sf_dir).where(F.col("key").between(int_key(F.lit(LOW)), int_key(F.lit(HIGH))))
-    return shown(newest(rows)).orderBy("key")
+    return shown(newest(oplog(spark, sf_dir, F.col("user_id").between(LOW, HIGH)))).orderBy("key")
 
 
 def kv_scan_empty(spark, sf_dir):
-    rows = oplog(spark, sf_dir).where(F.col("key").between(int_key(F.lit(HIGH)), int_key(F.lit(LOW))))
-    return shown(newest(rows)).orderBy("key")
+    return shown(newest(oplog(spark, sf_dir, F.col("user_id").between(HIGH, LOW)))).orderBy("key")
 
 
 def bounds(spark, sf_dir) -> tuple[int, int]:
