@@ -19,7 +19,7 @@ from ..sources import log, manifest
 from ..streaming.ingest import latest_stream
 
 #: Parameters of the queries: keys, file policies and segment sizes, chosen so that each has work at every scale.
-GET, DELETED, LOW, HIGH = 7, 5, 20, 60
+GET, DELETED, LOW, HIGH = 7, 5, 4, 60
 LEVELED = policy.Leveled(multiplier=2, max_levels=3, level0_threshold=2, base_bytes=40_000)
 TIERED = policy.Tiered(hot_ttl_s=200_000, max_hot=4, small_bytes=7_000, max_output_bytes=40_000, cold_max_bytes=150_000, cold_ttl_s=500_000)
 FREEZE_BYTES, BLOCK_BYTES = 2_000, 400
