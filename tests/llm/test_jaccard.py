@@ -41,9 +41,10 @@ def test_split_blocks_lose_no_link(spark):
     sets = {doc: jaccard.shingles((t or "").encode(), 3) for doc, t in docs}
     rows = [(doc, s.tobytes()) for doc, s in sets.items() if len(s)]
     table = spark.createDataFrame([(v, bytearray(t)) for v, t in rows], "v long, tokens binary")
-    members = table.select(F.lit(0).cast("long").alias("hub"), "v")
+    met = table.select(F.lit(0).cast("long").alias("hub"), "v", "tokens")
     for size in (1 << 20, 4000):
-        found = jaccard.links(members, table, 90, 100, block_bytes=size)
+        parts = jaccard.split_blocks(met.select("hub", F.octet_length("tokens").alias("size")), size)
+        found = jaccard.links(met, parts, 90, 100)
         got = {r.v: r.label for r in jaccard.components(found).collect()}
         want = {d: c for d, _, c in brute.jaccard_components(docs)}
         assert all(got.get(d, d) == c for d, c in want.items())

@@ -7,7 +7,8 @@ that are frequent within some shard of the corpus come last, by their counts, th
 link share at least `c` of the first `p + c - 1` shingles in that order (p = n - T + 1, T the overlap that n shingles
 need). These prefixes are inverted. A class with fewer than c prefix shingles that any other class has can't link and is
 let go, which ends the search for nearly all documents. Of the others' shared prefix shingles the longest c - 1 lists are
-skipped, as in DivideSkip; classes that meet in a remaining, short list go to the block of that list's smallest class.
+skipped, as in DivideSkip; classes that meet in a remaining, short list go to the block of that list's smallest class. There
+only classes that share enough prefix shingles with one and the same other class stay.
 
 Each block holds the whole sets of its classes and solves the T-occurrence problem exactly: for each class the short
 lists are merged, the L longest are binary-probed for the candidates, and those that reach the required overlap link.
@@ -103,8 +104,8 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     while listed.count() > SHIPPED_FREQUENT:
         least *= 2
         listed = listed.where(F.col("n") >= least)
-    got = listed.toPandas()
-    tokens, counts = got["token"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    got = listed.select("token", "n").toArrow()
+    tokens, counts = got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
     rank = np.empty(len(tokens), np.int64)
     rank[np.lexsort((tokens, counts))] = np.arange(1, len(tokens) + 1)
     order = np.argsort(tokens)
@@ -183,13 +184,75 @@ def inverted(docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) -
     return light, postings
 
 
-def blocks(postings: DataFrame) -> DataFrame:
-    """Distinct (hub, v): the classes of each block, those with a single class left out."""
+def blocks(postings: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Distinct (hub, v): the classes of each block that share enough prefix shingles with another one in it."""
     of_class = postings.groupBy("v").agg(F.max("need").alias("need"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("lists"))
-    short = of_class.where(F.size("lists") >= F.col("need")).select("v", F.explode(F.slice("lists", F.lit(1), F.size("lists") - F.col("need") + 1)).alias("x"))
-    short = cut(short.select("v", F.col("x.token").alias("token")))
+    of_class = cut(of_class.where(F.size("lists") >= F.col("need")).select("v", "need", F.transform("lists", lambda x: x["token"]).alias("tokens")))
+    short = cut(of_class.select("v", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - F.col("need") + 1)).alias("token")))
     hubs = short.groupBy("token").agg(F.min("v").alias("hub"), F.max("v").alias("last")).where("hub < last").select("token", "hub")
-    return cut(short.join(hubs, "token").select("hub", "v").distinct())
+    members = cut(short.join(hubs, "token").select("hub", "v").distinct())
+
+    def plausible(batches):
+        key, values, needs, sets, held, over = None, [], [], [], 0, False
+        made: list[tuple[int, int]] = []
+
+        def out():
+            keep = [] if over else sharing(sets, np.array(needs, np.int64))
+            return [(key, values[k]) for k in (range(len(values)) if over else keep)]
+
+        for batch in batches:
+            flat, offsets = batch.column(3).flatten().to_numpy(zero_copy_only=False), batch.column(3).offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            for k, (hub, v, need) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
+                if hub != key:
+                    if key is not None:
+                        made += out()
+                    key, values, needs, sets, held, over = hub, [], [], [], 0, False
+                values.append(v)
+                needs.append(need)
+                if not over:
+                    sets.append(flat[offsets[k] : offsets[k + 1]])
+                    held += 8 * len(sets[-1])
+                    if held > block_bytes:  # too large to look at as a whole: all its classes stay
+                        over, sets = True, []
+                if over and len(values) >= 100_000:
+                    made += out()
+                    values, needs = [], []
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made)], ["hub", "v"])
+                made = []
+        if key is not None:
+            made += out()
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made)], ["hub", "v"])
+
+    with_tokens = members.join(of_class, "v").select("hub", "v", "need", "tokens").repartition("hub").sortWithinPartitions("hub", "v")
+    return cut(with_tokens.mapInArrow(plausible, "hub long, v long"))
+
+
+def sharing(sets: list[np.ndarray], needs: np.ndarray) -> np.ndarray:
+    """Positions of the sets that have as many tokens in common with another set as both need. A set found as another's
+    partner isn't searched again, so a block of near copies takes one search."""
+    marked = np.zeros(len(sets), bool)
+    if len(sets) < 2:
+        return np.flatnonzero(marked)
+    sizes = np.array([len(s) for s in sets])
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    by = np.argsort(token, kind="stable")
+    lists = np.repeat(np.arange(len(sets)), sizes)[by]
+    starts = np.searchsorted(token[by], np.arange(int(token.max()) + 2))
+    begins = np.cumsum(sizes) - sizes
+    for q in range(len(sets)):
+        if marked[q]:
+            continue
+        mine = token[begins[q] : begins[q] + sizes[q]]
+        lo, counts = starts[mine], starts[mine + 1] - starts[mine]
+        met = lists[np.arange(int(counts.sum())) + np.repeat(lo - (np.cumsum(counts) - counts), counts)]
+        found, shared = np.unique(met, return_counts=True)
+        found = found[(shared >= np.maximum(needs[q], needs[found])) & (found != q)]
+        if len(found):
+            marked[found] = marked[q] = True
+    return np.flatnonzero(marked)
 
 
 class Forest:
@@ -269,10 +332,13 @@ def links_within(sets: list[np.ndarray], sides: np.ndarray | None, num: int, den
     return out
 
 
-def links(members: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Verified links (a, b) that connect whatever links in any block. members: (hub, v); sets: (v, tokens)."""
-    met = members.join(sets, "v")
-    parts = cut(members.join(sets.select("v", F.octet_length("tokens").alias("size")), "v").groupBy("hub").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("parts")).where("parts > 1"))
+def split_blocks(sized: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(hub, parts) of the blocks that are too large for one task. sized: (hub, size) of their classes."""
+    return cut(sized.groupBy("hub").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("parts")).where("parts > 1"))
+
+
+def links(met: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+    """Verified links (a, b) that connect whatever links in any block. met: (hub, v, tokens)."""
     split = parts.count()
     if split:
         met = met.join(F.broadcast(parts) if split <= BROADCAST_IDS else parts, "hub", "left")
@@ -333,19 +399,22 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     source = docs.select(docs[text_col].cast("string").alias("text"), docs[id_col].alias("id"))
     light, postings = inverted(source, size, num, den, scratch)
     members = blocks(postings)
-    wanted = members.select("v").distinct()
-    chosen = cut(light.where("id IS NOT NULL").join(wanted, "v").groupBy("v").agg(F.min("id").alias("id")))
+    by_class = members.groupBy("v").agg(F.collect_list("hub").alias("hubs"))  # at most one hub a prefix shingle
+    lowest_ids = light.where("id IS NOT NULL").join(by_class.select("v"), "v").groupBy("v").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    chosen = cut(lowest_ids.join(by_class, "v"))
+    parts = split_blocks(chosen.select(F.explode("hubs").alias("hub"), (8 * F.col("n")).alias("size")))
     few = chosen.count() <= BROADCAST_IDS
 
     def of(batches):
         for batch in batches:
             own = [shingles(t, size) for t in encoded(batch.column(0))]
             keep = [k for k, (s, v) in enumerate(zip(own, batch.column(1).to_pylist())) if digest(s) == v]  # an id may repeat
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep, pa.int64())), pa.array([own[k].tobytes() for k in keep], pa.binary())], ["v", "tokens"])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array([own[k].tobytes() for k in keep], pa.binary())], ["v", "hubs", "tokens"])
 
-    sets = source.join(F.broadcast(chosen) if few else chosen, "id").select("text", "v").mapInArrow(of, "v long, tokens binary")
-    sets = scratch.keep("sets", sets)
-    labels = components(links(members, sets, num, den))
+    wanted = chosen.select("id", "v", "hubs")
+    sets = source.join(F.broadcast(wanted) if few else wanted, "id").select("text", "v", "hubs").mapInArrow(of, "v long, hubs array<long>, tokens binary")
+    labels = components(links(sets.select(F.explode("hubs").alias("hub"), "v", "tokens"), parts, num, den))
     named = light.join(labels, "v", "left").select("id", "n", F.coalesce("label", "v").alias("label"))
     lowest = cut(named.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("lowest")))
     out = named.join(lowest, "label", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("lowest")).alias("component_id"))
