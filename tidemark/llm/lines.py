@@ -29,7 +29,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(line, BLANKS), "")
+    """Words between blanks; only lines with blanks other than spaces need a regular expression."""
+    return F.array_remove(F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, BLANKS)).otherwise(F.split(line, " ")), "")
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -37,15 +38,18 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def half_keys(words: Column, n: Column) -> Column:
-    """Keys of the first and last h(m) words for m = n and n - 1, where m is the smaller size of a pair."""
+def half(m: Column) -> Column:
+    """How many words of a line are its first (or last) half in a pair whose smaller line has m words."""
+    return 2 * F.floor((m - 1) / 4).cast("int")
+
 
-    def h(m: Column) -> Column:
-        return 2 * F.floor((m - 1) / 4).cast("int")
+def half_keys(words: Column, n: Column) -> Column:
+    """Keys of the first and last words for pairs of smaller size n and n - 1. The lowest bit tells first (0) from last."""
 
     def both(m: Column) -> list[Column]:
-        k = h(m)
-        return [F.xxhash64(F.lit(1), k, F.slice(words, F.lit(1), k)), F.xxhash64(F.lit(2), k, F.slice(words, n - k + 1, k))]
+        k = half(m)
+        first, last = F.xxhash64(k, F.slice(words, F.lit(1), k)), F.xxhash64(k, F.slice(words, n - k + 1, k))
+        return [first.bitwiseAND(F.lit(-2)), last.bitwiseOR(F.lit(1))]
 
     return F.array_distinct(F.array(*both(n), *both(n - 1)))
 
@@ -72,35 +76,51 @@ def one_edit(a: Column, b: Column) -> Column:
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(id, r, line) of every line to remove; r is the hash of id and text."""
     text = docs[text_col].cast("string")
-    split = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col], text).alias("r"), F.posexplode(F.split(text, "\n")).alias("line", "body"))
-    worded = split.withColumn("words", words_of(F.col("body"))).withColumn("n", F.size("words")).where(F.col("n") >= MIN_WORDS)
-    key = F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"))
-    place = F.struct("id", "r", "line")
-    keys = F.when(F.col("n") >= FUZZY_WORDS, half_keys(F.col("words"), F.col("n")))
-    light = scratch.keep("lines", worded.select("id", "r", "line", key.alias("k"), keys.alias("keys")))
-    firsts = scratch.keep("firsts", light.groupBy("k").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")))
+    whole_docs = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col], text).alias("r"), text.alias("text"))
+
+    def worded(rows: DataFrame) -> DataFrame:
+        split = rows.select("id", "r", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+        return split.withColumn("words", words_of(F.col("body"))).withColumn("n", F.size("words")).where(F.col("n") >= MIN_WORDS)
 
-    halves = light.select("k", F.explode("keys").alias("key"))
-    shared = cut(halves.groupBy("key").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("key"))
-    near = halves.join(few(shared), "key").select("k").distinct()
-    at = cut(firsts.join(near, "k").select("k", "first", F.col("first.r").alias("r"), F.col("first.line").alias("line")))
-    lines = cut(worded.select("id", "r", "line", "words").join(few(at), ["r", "line"]).where(F.col("id").eqNullSafe(F.col("first.id"))).select("k", "first", "words").dropDuplicates(["k"]))
+    keys = F.when(F.col("n") >= FUZZY_WORDS, half_keys(F.col("words"), F.col("n")))
+    light = worded(whole_docs).select("id", "r", "line", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), keys.alias("keys"))
+    light = scratch.keep("lines", light)
+    place = F.struct("id", "r", "line")
+    firsts = scratch.keep("firsts", light.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")))
+
+    # Lines that share a half with another one, and which halves.
+    halves = light.select("a", F.explode("keys").alias("key"))
+    shared = cut(halves.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("key"))
+    sides = halves.join(few(shared), "key").groupBy("a").agg(F.bit_or(F.col("key").bitwiseAND(F.lit(1)).cast("int") + 1).alias("sides"))
+    at = cut(firsts.join(sides, "a").select("a", "b", "first", "sides", F.col("first.r").alias("r"), F.col("first.line").alias("line")))
+    lines = worded(whole_docs.join(few(at.select("r").distinct()), "r", "left_semi")).join(few(at), ["r", "line"]).where(F.col("id").eqNullSafe(F.col("first.id")))
+    lines = scratch.keep("candidates", lines.select("a", "b", "first.*", "sides", "words").dropDuplicates(["a", "b"]))
+
+    # The half that a line shares is as it is, so the edit lies behind a first half, or before a last one.
+    n, h = F.size("words"), half(F.size("words") - 1)
+    here = lambda i: (i == 0) | ((F.col("sides") != 2) & (i > h)) | ((F.col("sides") != 1) & (i <= n - h))
+    places = F.filter(F.sequence(F.lit(0), n), here)
+    variants = lines.select("id", "r", "line", "a", "b", F.explode(F.transform(places, lambda i: F.struct(without(F.col("words"), i).alias("v"), i.alias("i")))).alias("x"))
+    variants = scratch.keep("variants", variants.select("id", "r", "line", "a", "b", "x.v", "x.i"))
+    twice = cut(variants.groupBy("v").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("v"))
+    me = F.struct(place.alias("first"), F.struct("a", "b").alias("k"))
+    variants = cut(variants.join(few(twice), "v").select("v", "i", me.alias("me")))
 
-    variants = cut(lines.select("k", "first", F.explode(F.transform(F.sequence(F.lit(0), F.size("words")), lambda i: F.struct(without(F.col("words"), i).alias("v"), i.alias("i")))).alias("x")).select(F.struct("first", "k").alias("me"), "x.v", "x.i"))
     gone, whole = variants.where("i > 0"), variants.where("i = 0").select("v", F.col("me").alias("full"))
     by_place = gone.groupBy("v", "i").agg(F.min("me").alias("lead"), F.max("me").alias("tail")).where("lead <> tail").select("v", "i", "lead")
     substituted = gone.join(by_place, ["v", "i"]).select("me", "lead")
     shorter = gone.join(whole, "v").select("me", F.col("full").alias("lead"))
     longer = whole.join(gone.groupBy("v").agg(F.min("me").alias("lead")), "v").select(F.col("full").alias("me"), "lead")
-    pairs = substituted.unionByName(shorter).unionByName(longer).where(F.col("lead.first") < F.col("me.first")).select(F.col("me.k").alias("k"), F.col("lead.k").alias("other")).distinct()
-    mine, theirs = lines.select("k", "words"), lines.select(F.col("k").alias("other"), F.col("words").alias("their_words"))
-    near_copies = pairs.join(mine, "k").join(theirs, "other").where(one_edit(F.col("words"), F.col("their_words"))).select("k").distinct().withColumn("near", F.lit(True))
+    pairs = substituted.unionByName(shorter).unionByName(longer).where(F.col("lead.first") < F.col("me.first"))
+    pairs = pairs.select("me.k.a", "me.k.b", F.col("lead.k.a").alias("a2"), F.col("lead.k.b").alias("b2")).distinct()
+    theirs = lines.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("words").alias("their_words"))
+    met = pairs.join(lines.select("a", "b", "words"), ["a", "b"]).join(theirs, ["a2", "b2"])
+    near_copies = met.where(one_edit(F.col("words"), F.col("their_words"))).select("a", "b").distinct().withColumn("near", F.lit(True))
 
     # Only lines that occur again or are near copies can have places to remove.
-    some = cut(firsts.join(near_copies, "k", "left").where("copies > 1 OR near").select("k", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    hit = light.select("id", "r", "line", "k").join(few(some), "k")
-    here = F.struct("id", "r", "line")
-    return hit.where(F.col("near") | (here > F.col("first"))).select("id", "r", "line")
+    some = cut(firsts.join(near_copies, ["a", "b"], "left").where("copies > 1 OR near").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near")))
+    hit = light.select("id", "r", "line", "a", "b").join(few(some), ["a", "b"])
+    return hit.where(F.col("near") | (place > F.col("first"))).select("id", "r", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
