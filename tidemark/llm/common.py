@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -46,17 +47,35 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def worker_state() -> dict:
-    """A dictionary that lives as long as the Python worker, so caches outlast a task."""
-    if not hasattr(sys, "_tidemark_state"):
-        sys._tidemark_state = {}
-    return sys._tidemark_state
+def give_back() -> None:
+    """Return memory that Python, Arrow and the C library hold but don't use; a worker lives through many stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def worker_state(owner: str) -> dict:
+    """A dictionary that outlasts a task in a Python worker. It belongs to one operator at a time: another one's caches are
+    let go, so that a worker that serves many stages holds those of the last only."""
+    owned = getattr(sys, "_tidemark_state", None)
+    if owned is None or owned[0] != owner:
+        sys._tidemark_state = owned = None
+        gc.enable()
+        give_back()
+        owned = sys._tidemark_state = (owner, {})
+    return owned[1]
 
 
 class WordHashes(dict):
     """64-bit hash of a word in bytes, remembered; emptied when it holds too many words."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -71,7 +90,7 @@ class WordHashes(dict):
 
 
 def word_hashes() -> WordHashes:
-    return worker_state().setdefault("word_hashes", WordHashes())
+    return worker_state("words").setdefault("word_hashes", WordHashes())
 
 
 def chained(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -102,7 +121,15 @@ def encoded(column) -> Iterator[bytes]:
         yield b"" if x is None else x.encode()
 
 
+#: Rows of an Arrow batch, unless the session sets a number of its own: texts are long, so Spark's 10,000 are too many.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+FEW_ROWS, SPARKS_ROWS = "1000", "10000"
+
+
 def require(df: DataFrame, *names: str) -> None:
+    """Check that df has these columns, and bound the batches that go to Python."""
+    if df.sparkSession.conf.get(BATCH_ROWS, SPARKS_ROWS) == SPARKS_ROWS:
+        df.sparkSession.conf.set(BATCH_ROWS, FEW_ROWS)
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns missing: {', '.join(missing)}; there are {', '.join(df.columns)}")
@@ -118,13 +145,18 @@ def with_computed(df: DataFrame, text_col: str, keep: list[str], fn, schema: str
 
     new = T.StructType.fromDDL(schema)
     keep = [c for c in keep if c not in new.names]
-    slim = df.select(df[text_col].cast("string").alias("_text"), *[df[c].alias(f"_k{i}") for i, c in enumerate(keep)])
+    # A kept text is sent to Python once: it is the text column itself.
+    own = keep.index(text_col) if text_col in keep and isinstance(df.schema[text_col].dataType, T.StringType) else -1
+    slim = df.select(df[text_col].cast("string").alias("_text"), *[df[c].alias(f"_k{i}") for i, c in enumerate(keep) if i != own])
 
     def run(batches):
         import pyarrow as pa
 
-        pairs = ((b.columns[1:], b.column(0)) for b in batches)
-        for rows, made in fn(pairs):
+        def pair(b):
+            rows = b.columns[1:]
+            return (rows if own < 0 else [*rows[:own], b.column(0), *rows[own:]]), b.column(0)
+
+        for rows, made in fn(map(pair, batches)):
             yield pa.RecordBatch.from_arrays([*rows, *made], names)
 
     out = T.StructType([T.StructField(f"_k{i}", df.schema[c].dataType, True) for i, c in enumerate(keep)] + list(new))

@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chained, cut, encoded, mixed, require, word_hashes
+from .common import Scratch, chained, cut, encoded, give_back, mixed, require, word_hashes
 
 #: Text in a shard; a shingle is frequent if so many of a shard's distinct sets have it; how many frequent ones are shipped.
-SHARD_BYTES, FREQUENT, SHIPPED_FREQUENT = 12 << 20, 32, 2_000_000
+SHARD_BYTES, FREQUENT, SHIPPED_FREQUENT = 6 << 20, 16, 2_000_000
 #: Postings in a bucket of the inverted prefixes, bytes of a block, and ids that are broadcast.
 BUCKET_POSTINGS, BLOCK_BYTES, BROADCAST_IDS = 1_000_000, 32 << 20, 500_000
 
@@ -76,8 +76,10 @@ def shards_of(batches, size: int):
         if held >= SHARD_BYTES:
             yield rows, got
             rows, got, held = [], [], 0
+            give_back()
     if got:
         yield rows, got
+        give_back()
 
 
 def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -372,6 +374,7 @@ def links(met: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
             made += out()
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made)], ["a", "b"])
+        give_back()
 
     return cut(met.repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b", "v").mapInArrow(search, "a long, b long").distinct())
 

@@ -133,7 +133,7 @@ class Agenda:
             if not text:
                 yield [], ""
                 continue
-            if "  " in text or text[0] == " " or text[-1] == " ":
+            if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
                 found = [self.part(p) for p in self.parts(SPACE + text.replace(" ", SPACE))]
             else:
                 words = text.split(" ")
@@ -188,7 +188,7 @@ class Agenda:
 
 def agenda(model: bytes) -> Agenda:
     """The worker's encoder for these model bytes."""
-    state, key = worker_state(), ("agenda", sha256(model).hexdigest())
+    state, key = worker_state("pieces"), ("agenda", sha256(model).hexdigest())
     if key not in state:
         gc.disable()  # remembered parts are millions of small tuples without cycles
         state[key] = Agenda(model)

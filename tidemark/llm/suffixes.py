@@ -188,13 +188,17 @@ def joined(old: list, new: list) -> list:
 
 
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The benchmark's items, block by block, none of which holds much more than block_bytes on the driver."""
+    """How many blocks the benchmark makes, and a function from a block's number to its items. The driver holds one block
+    at a time, of not much more than block_bytes."""
     rows = benchmark.select(F.coalesce(benchmark[id_col].cast("string"), F.lit("null")).alias("id"), F.coalesce(benchmark[text_col].cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
-    for k in range(n):
+
+    def block(k: int) -> list[tuple[str, bytes]]:
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [(r.id, r.text.encode()) for r in part.collect()]
+        return [(r.id, r.text.encode()) for r in part.collect()]
+
+    return n, block
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -203,16 +207,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     require(benchmark, item_id, item_text)
     spark = docs.sparkSession
     names = [id_col, *(c for c in keep if c != id_col)]
-    found = None
-    for block in blocks_of(benchmark, item_id, item_text, block_bytes):
-        shipped = spark.sparkContext.broadcast(block)
-        if found is None:
-            source = docs.select(docs[text_col].alias("_body"), *names)
-        else:
-            source = found.withColumnsRenamed({"spans": "_spans", "items": "_items"})
-        found = with_computed(source, "_body", [c for c in source.columns if c != "n_words"], marker(shipped, window, "_spans" in source.columns), MARKS)
-        found = found.drop("_spans", "_items")
-    return found.drop("_body")
+    n, block = blocks_of(benchmark, item_id, item_text, block_bytes)
+    found = docs.select(*dict.fromkeys([*names, text_col]))
+    for k in range(n):
+        shipped = spark.sparkContext.broadcast(block(k))
+        if k:
+            found = found.drop("n_words").withColumnsRenamed({"spans": "_spans", "items": "_items"})
+        last = k == n - 1
+        kept = [c for c in found.columns if c != text_col or text_col in names or not last]
+        found = with_computed(found, text_col, kept, marker(shipped, window, k > 0), MARKS).drop("_spans", "_items")
+    return found
 
 
 MARKS = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"

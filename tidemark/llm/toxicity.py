@@ -57,16 +57,22 @@ def features(text: bytes, seen: np.ndarray) -> np.ndarray:
 
 
 def flags() -> np.ndarray:
-    return worker_state().setdefault("toxicity_flags", np.zeros(SIZE, bool))
+    return worker_state("toxicity").setdefault("toxicity_flags", np.zeros(SIZE, bool))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(id, text, label) of the labelled documents outside the held-out part. Labels are broadcast only while there are few."""
+    """(_id, _text, its hash _h and length _n, _label) of the labelled documents outside the held-out part. Labels are
+    broadcast only while there are few."""
     one = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_label"))
     one = one.where(~held_out(F.col("_id")))
     few = labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    return texts_of(docs, id_col, text_col).join(F.broadcast(one) if few else one, "_id")
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Hash and length are taken before any join, so that a pass over them moves no text."""
     texts = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
-    return texts.join(F.broadcast(one) if few else one, "_id")
+    return texts.withColumns({"_h": F.xxhash64("_text"), "_n": F.length("_text")})
 
 
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -101,23 +107,22 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return docs, seen
 
 
-def fit_sample(rows: DataFrame, fit_rows: int, fit_chars: int) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_sample(rows: DataFrame, texts: DataFrame, fit_rows: int, fit_chars: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and labels of at most fit_rows distinct texts a class, chosen by a hash of the text."""
-    short = rows.where(F.length("_text") <= fit_chars).select(F.xxhash64("_text").alias("h"), "_id", "_label")
-    distinct = short.groupBy("h").agg(F.min("_id").alias("_id"), F.max("_label").alias("_label"))
+    short = rows.where(F.col("_n") <= fit_chars).groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_label").alias("_label"))
     chosen = None
     for label in (0, 1):
-        part = distinct.where(F.col("_label") == label).orderBy("h", "_id").limit(fit_rows).select("_id")
+        part = short.where(F.col("_label") == label).orderBy("_h", "_id").limit(fit_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = cut(chosen.distinct())
-    return_rows = rows.join(F.broadcast(chosen), "_id").where(F.length("_text") <= fit_chars).select("_text", "_label")
+    chosen = cut(chosen)
+    sample = texts.join(F.broadcast(chosen), ["_id", "_h"]).select("_text", "_label")
 
     def listed(batches):
         seen = flags()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t, seen).astype(np.int32).tobytes() for t in encoded(batch.column(0))], pa.binary()), batch.column(1)], ["f", "label"])
 
-    got = return_rows.mapInArrow(listed, "f binary, label int").collect()
+    got = sample.mapInArrow(listed, "f binary, label int").collect()
     got = sorted({(bytes(r.f), r.label) for r in got})[: 4 * fit_rows]
     return [np.frombuffer(f, np.int32) for f, _ in got], np.array([label for _, label in got], float)
 
@@ -134,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rate = (seen + 1.0) / (seen.sum(axis=1, keepdims=True) + 1.0 * SIZE)
     ratio = np.log(rate[1] / rate[0])
     ratio[(seen.sum(axis=0) < 3) | (np.abs(ratio) < 0.7)] = 0
-    lists, y = fit_sample(rows, fit_rows, fit_chars)
+    lists, y = fit_sample(rows, texts_of(docs, id_col, text_col), fit_rows, fit_chars)
     return weights(lists, y, ratio, n)
 
 
