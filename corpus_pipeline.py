@@ -15,8 +15,8 @@ from tidemark.llm.queries import table, tokenizer_model
 #: SQL can't express the classifier and the encoder.
 ORACLE_SQL = None
 
-#: A document that lost more than this share of its characters to line dedup is a copy of others and goes.
-LOST_NUM, LOST_DEN = 2, 3
+#: A character of a word.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat, or nearly repeat, an earlier line anywhere are taken out; n_chars follows the text."""
-    before = docs.withColumn("_chars", F.length("text"))
-    left = lines.dedup_lines(before).where((F.col("n_removed") == 0) | (LOST_DEN * (F.col("_chars") - F.length("text")) <= LOST_NUM * F.col("_chars")))
+    """Lines that repeat, or nearly repeat, an earlier line anywhere are taken out, and with them documents that have no
+    words left; n_chars follows the text."""
+    left = lines.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

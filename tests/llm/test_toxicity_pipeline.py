@@ -97,3 +97,12 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert 104 not in seen["decontamination"] and {101, 105, 106, 107, 108} <= set(seen["decontamination"])
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == set(seen["decontamination"]) and got[108].n_tokens == 0 and got[101].n_tokens == len(got[101]["ids"]) > 80
+
+
+def test_line_dedup_keeps_documents_with_words_left(spark):
+    rnd = random.Random(4)
+    own = lambda k: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(k))
+    mine, license, body, copied = own(50), own(200), own(12), own(30)
+    docs = [(1, license, "en", "s", 1), (2, "\n".join([mine] * 5), "en", "s", 1), (3, f"{license}\n{body}", "en", "s", 1), (4, copied, "en", "s", 1), (5, f" \n{copied}\n", "en", "s", 1), (6, " \n", "en", "s", 1), (7, None, None, None, None)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(docs, DOCS), "").collect()}
+    assert got == {1: (license, len(license)), 2: (mine, len(mine)), 3: (body, len(body)), 4: (copied, len(copied)), 6: (" \n", 2), 7: (None, None)}
