@@ -27,7 +27,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat, or nearly repeat, an earlier line anywhere are taken out, and with them documents that have no
     words left; n_chars follows the text."""
-    left = lines.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    left = lines.dedup_lines(docs, **lines.EVERY_LINE).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

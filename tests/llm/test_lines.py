@@ -75,3 +75,29 @@ def test_plan_has_no_python(spark):
     d = spark.createDataFrame(made(3)[:5], "doc_id long, text string")
     plan = lines.dedup_lines(d)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_every_line_equals_brute_force(spark):
+    rnd, vocab = random.Random(7), [f"v{i}" for i in range(9)]
+    docs = [(d, "\n".join(" ".join(rnd.choices(vocab, k=rnd.choice([0, 1, 2, 4, 5, 5, 6, 9, 10]))) for _ in range(40))) for d in range(40)]
+    pool = [rnd.choices(vocab, k=k) for k in (4, 5, 6, 9, 10, 11)]
+    for d in range(40, 70):  # and lines near each other
+        w = list(rnd.choice(pool))
+        w[rnd.randrange(len(w))] = rnd.choice(vocab)
+        docs.append((d, " ".join(w) + "\n" + " ".join(w[:3] + [rnd.choice(vocab)] + w[3:]) + "\nAll rights reserved.\n"))
+    first, want = {}, {}
+    for d, t in docs:
+        for ln, s in enumerate(t.split("\n")):
+            first.setdefault(tuple(s.split()), (d, ln))
+    near = {w for w in first if len(w) >= 5 and any(len(v) >= 4 and first[v] < first[w] and edit_at_most_one(v, w) for v in first)}
+    for d, t in docs:
+        want[d] = "\n".join(s for ln, s in enumerate(t.split("\n")) if not s or (first[tuple(s.split())] == (d, ln) and tuple(s.split()) not in near))
+    assert any(len(w) == 5 for w in near) and any(len(w) < 10 for w in near)
+    rows = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), **lines.EVERY_LINE).collect()
+    assert {r.doc_id: r.text for r in rows} == want
+
+
+def test_ten_words_near_nine(spark):
+    nine = "one two three four five six seven eight nine"
+    d = spark.createDataFrame([(1, nine), (2, nine + " ten"), (3, "Les."), (4, "Les.\nLes.\nmore")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_lines(d, **lines.EVERY_LINE).collect()} == {1: nine, 2: "", 3: "Les.", 4: "more"}

@@ -1,8 +1,10 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line is its words. Lines of MIN_WORDS words or more that equal an earlier line are removed, and so are lines of
-FUZZY_WORDS or more within one word edit (insertion, deletion or substitution) of an earlier line; "earlier" compares
-the first places (id, text hash, line number) of the two lines. Everything else stays as it is, shorter lines included.
+A line is its words. Lines of min_words words or more that equal an earlier line are removed, and so are lines of
+fuzzy_words or more within one word edit (insertion, deletion or substitution) of an earlier line of partner_words or
+more; "earlier" compares the first places (id, text hash, line number) of the two lines. Everything else stays as it is,
+shorter lines included. The defaults are those of the SQL of op8_line_dedup, MIN_WORDS and twice FUZZY_WORDS; EVERY_LINE
+takes in every line that has a word, and every pair of five words or more against four or more.
 
 For the edits every candidate line emits its variants, the line and the line without word i, as hashed keys. Lines that
 share a variant with the same i differ by a substitution, a variant that equals a whole line is an insertion or
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, cut, require
 
 MIN_WORDS, FUZZY_WORDS = 5, 10
+EVERY_LINE = {"min_words": 1, "fuzzy_words": 5, "partner_words": 4}
 #: Rows of a side that is broadcast at most.
 BROADCAST_ROWS = 200_000
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -40,7 +43,7 @@ def few(df: DataFrame) -> DataFrame:
 
 def half(m: Column) -> Column:
     """How many words of a line are its first (or last) half in a pair whose smaller line has m words."""
-    return 2 * F.floor((m - 1) / 4).cast("int")
+    return F.greatest(F.lit(1), 2 * F.floor((m - 1) / 4).cast("int"))
 
 
 def half_keys(words: Column, n: Column) -> Column:
@@ -73,16 +76,18 @@ def one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def removed_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, partner_words: int = FUZZY_WORDS) -> DataFrame:
     """(id, r, line) of every line to remove; r is the hash of id and text."""
+    if not 1 <= min_words <= partner_words <= fuzzy_words or partner_words < 2:
+        raise ValueError("1 <= min_words <= partner_words <= fuzzy_words and 2 <= partner_words must hold")
     text = docs[text_col].cast("string")
     whole_docs = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col], text).alias("r"), text.alias("text"))
 
     def worded(rows: DataFrame) -> DataFrame:
         split = rows.select("id", "r", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-        return split.withColumn("words", words_of(F.col("body"))).withColumn("n", F.size("words")).where(F.col("n") >= MIN_WORDS)
+        return split.withColumn("words", words_of(F.col("body"))).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
 
-    keys = F.when(F.col("n") >= FUZZY_WORDS, half_keys(F.col("words"), F.col("n")))
+    keys = F.when(F.col("n") >= partner_words, half_keys(F.col("words"), F.col("n")))
     light = worded(whole_docs).select("id", "r", "line", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), keys.alias("keys"))
     light = scratch.keep("lines", light)
     place = F.struct("id", "r", "line")
@@ -98,7 +103,7 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch)
 
     # The half that a line shares is as it is, so the edit lies behind a first half, or before a last one.
     n, h = F.size("words"), half(F.size("words") - 1)
-    here = lambda i: (i == 0) | ((F.col("sides") != 2) & (i > h)) | ((F.col("sides") != 1) & (i <= n - h))
+    here = lambda i: (i == 0) | ((n >= fuzzy_words) & (((F.col("sides") != 2) & (i > h)) | ((F.col("sides") != 1) & (i <= n - h))))
     places = F.filter(F.sequence(F.lit(0), n), here)
     variants = lines.select("id", "r", "line", "a", "b", F.explode(F.transform(places, lambda i: F.struct(without(F.col("words"), i).alias("v"), i.alias("i")))).alias("x"))
     variants = scratch.keep("variants", variants.select("id", "r", "line", "a", "b", "x.v", "x.i"))
@@ -115,7 +120,7 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch)
     pairs = pairs.select("me.k.a", "me.k.b", F.col("lead.k.a").alias("a2"), F.col("lead.k.b").alias("b2")).distinct()
     theirs = lines.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("words").alias("their_words"))
     met = pairs.join(lines.select("a", "b", "words"), ["a", "b"]).join(theirs, ["a2", "b2"])
-    near_copies = met.where(one_edit(F.col("words"), F.col("their_words"))).select("a", "b").distinct().withColumn("near", F.lit(True))
+    near_copies = met.where((n >= fuzzy_words) & one_edit(F.col("words"), F.col("their_words"))).select("a", "b").distinct().withColumn("near", F.lit(True))
 
     # Only lines that occur again or are near copies can have places to remove.
     some = cut(firsts.join(near_copies, ["a", "b"], "left").where("copies > 1 OR near").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near")))
@@ -123,13 +128,13 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch)
     return hit.where(F.col("near") | (place > F.col("first"))).select("id", "r", "line")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, partner_words: int = FUZZY_WORDS) -> DataFrame:
     """All columns of docs with later copies of lines taken out of the text, and `n_removed` (a column of docs so named is
     left out)."""
     require(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession)
     word, bit = F.floor(F.col("line") / 64).cast("int"), F.expr("shiftleft(1L, line % 64)")
-    gone = removed_lines(docs, id_col, text_col, scratch).groupBy(F.col("id").alias("_id"), F.col("r").alias("_r"), word.alias("w")).agg(F.bit_or(bit).alias("bits"))
+    gone = removed_lines(docs, id_col, text_col, scratch, min_words, fuzzy_words, partner_words).groupBy(F.col("id").alias("_id"), F.col("r").alias("_r"), word.alias("w")).agg(F.bit_or(bit).alias("bits"))
     gone = cut(gone.groupBy("_id", "_r").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("_gone")))
     scratch.drop()
     text = docs[text_col].cast("string")
