@@ -81,3 +81,21 @@ def test_pages_go_round(spark, tmp_path, monkeypatch):
     assert empty.count() == 0 and warc.read_archives(spark, empty).collect() == []
     lost = spark.createDataFrame([(f"file://{tmp_path}/none.warc.gz",)], "path string")
     assert [r.kind for r in warc.read_archives(spark, lost).collect()] == ["gap"]
+
+
+def test_records_of_a_damaged_member_are_recovered():
+    parts = made(40, 3)
+    content = bytearray(b"".join(parts))
+    content[sum(map(len, parts[:7])) + len(parts[7]) - 9] ^= 1  # a payload byte, under an intact gzip stream
+    content[sum(map(len, parts[:20])) : sum(map(len, parts[:20])) + 4] = b"JUNK"
+    one = gzip.compress(bytes(content))
+    last = warc.member(warc.record(99, "u", b"z", sha(b"z"), None))
+    assert ids(one + last) == [str(i) for i in range(40) if i not in (7, 20)] + ["99"]
+    assert gaps(one + last) == [(0, len(one))] * 2
+    for level in (0, 9):  # a stream that breaks in the middle
+        whole = gzip.compress(b"".join(parts), level)
+        for bad in (whole[: len(whole) * 2 // 3], whole[: len(whole) * 2 // 3] + b"\xff" * 40, whole[:-8] + b"\0" * 8):
+            got = ids(bad + last)
+            assert got[-1] == "99" and got[:-1] == [str(i) for i in range(len(got) - 1)] and len(got) > 15 and gaps(bad + last)
+    bare = b"WARC/1.0\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    assert ids(gzip.compress(bare)) == [None] and ids(gzip.compress(bare)[:-8] + b"\0" * 8) == []  # nothing shows that it is whole

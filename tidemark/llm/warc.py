@@ -8,7 +8,10 @@ attempt that counted, so archives of lost attempts are never read.
 
 Reading: member by member (or record by record where an archive isn't compressed), with gzip check sums, lengths, the
 end of a record, block and payload digests checked. After a failure the reader looks for the next gzip magic or version
-line, goes on there and logs the bytes between as a quarantined gap.
+line, goes on there and logs the bytes between as a quarantined gap. The content of a member is salvaged the same way, by
+version lines; a gap in it has the member's place. Of a member that breaks off, the content up to the break is read, and
+records whose digest shows that they are whole are kept; the member is logged as a gap besides. A record that reaches the
+end of a member cut short by the archive's end counts as cut short too.
 
 Defined results: a null page text has an empty payload; pages that share an id and a repeated payload are responses if
 theirs is the largest id; a null id is never the largest, and its page is a response; line breaks in URLs are
@@ -23,6 +26,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from hashlib import sha1
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +42,9 @@ LEVEL = 3
 #: Fixed values of the format.
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
+MEMBER = re.compile(re.escape(MAGIC))
+CUT_SHORT = "gzip member is cut short"
+START = re.compile(MEMBER.pattern + b"|" + VERSION.pattern)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -134,16 +141,35 @@ class Bytes:
         return self.file.read(min(n, max(0, self.size - start)))
 
 
-def inflate(source: Bytes, start: int) -> tuple[bytes, int]:
-    """The content of the gzip member at start, and where it ends."""
+def inflate(source: Bytes, start: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at start, where it ends, and None; or the content before a failure, where the
+    failure is, and what it is."""
     unpacker, out, at = zlib.decompressobj(31), [], start
     while not unpacker.eof:
         chunk = source.read(at, CHUNK)
         if not chunk:
-            raise ValueError("gzip member is cut short")
+            return b"".join(out), at, CUT_SHORT
+        before = unpacker.copy()
+        try:
+            out.append(unpacker.decompress(chunk))
+        except zlib.error as error:
+            good, n = prefix(before, chunk)
+            return b"".join([*out, good]), at + n, str(error)
         at += len(chunk)
-        out.append(unpacker.decompress(chunk))
-    return b"".join(out), at - len(unpacker.unused_data)
+    return b"".join(out), at - len(unpacker.unused_data), None
+
+
+def prefix(unpacker, chunk: bytes) -> tuple[bytes, int]:
+    """What a failing chunk gives before the byte that fails, and where that byte is; found by halving."""
+    out, at, end = [], 0, len(chunk)
+    while end - at > 1:
+        middle, before = (at + end) // 2, unpacker.copy()
+        try:
+            out.append(unpacker.decompress(chunk[at:middle]))
+            at = middle
+        except zlib.error:
+            unpacker, end = before, middle
+    return b"".join(out), at
 
 
 def parse(source: Bytes, start: int) -> tuple[dict, int]:
@@ -178,7 +204,7 @@ def parse(source: Bytes, start: int) -> tuple[dict, int]:
         http, _, payload = block.partition(b"\r\n\r\n")
         if found := re.search(rb"(?im)^content-length:\s*([0-9]+)", http):
             declared = int(found[1])
-    digest = sha1(payload).hexdigest()
+    digest, checked = sha1(payload).hexdigest(), want.startswith("sha1:") and len(want) == 45
     want = fields.get("warc-payload-digest", "")
     stated = want[5:].lower() if want.startswith("sha1:") and len(want) == 45 else None
     kind = fields.get("warc-type", "")
@@ -188,12 +214,12 @@ def parse(source: Bytes, start: int) -> tuple[dict, int]:
         n_payload = len(payload)
         if stated is not None and stated != digest:
             raise ValueError("payload digest differs")
-    return {"id": fields.get("x-page-id"), "type": kind, "url": fields.get("warc-target-uri"), "payload": payload, "payload_bytes": n_payload, "payload_digest": digest, "refers_to": fields.get("x-refers-to-page")}, at + n + 4
+        checked = checked or stated is not None
+    return {"checked": checked, "id": fields.get("x-page-id"), "type": kind, "url": fields.get("warc-target-uri"), "payload": payload, "payload_bytes": n_payload, "payload_digest": digest, "refers_to": fields.get("x-refers-to-page")}, at + n + 4
 
 
-def next_start(source: Bytes, start: int) -> int:
-    """The next gzip magic or version line at or after start."""
-    look = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]+\.[0-9]+\r?\n")
+def next_start(source: Bytes, start: int, look: re.Pattern = START) -> int:
+    """The next match of look, a gzip magic or version line, at or after start."""
     while start < source.size:
         chunk = source.read(start, CHUNK)
         if found := look.search(chunk):
@@ -204,29 +230,53 @@ def next_start(source: Bytes, start: int) -> int:
     return source.size
 
 
+def records_in(data: bytes, broken: str | None) -> Iterator[dict | str]:
+    """The records of a member's content, and for each gap between them its reason."""
+    source, at, lost = Bytes(data), 0, False
+    while at < len(data):
+        try:
+            fields, end = parse(source, at)
+            if broken and not fields["checked"]:
+                raise ValueError("record without a digest in a broken gzip member")
+            if broken == CUT_SHORT and end == len(data):
+                raise ValueError(CUT_SHORT)
+        except ValueError as error:
+            end = next_start(source, at + 1, VERSION)
+            if not lost:
+                yield f"{error} (at byte {at} of the content)"
+            lost = True
+        else:
+            yield fields
+            lost = False
+        at = end
+
+
 def salvage(source: Bytes) -> Iterator[tuple[str, int, int, dict | str]]:
     """("record", start, end, fields) and ("gap", start, end, reason), in order; neighbouring gaps are one."""
     at, gap = 0, None
     while at < source.size:
-        try:
-            if source.read(at, 3) == MAGIC:
-                data, end = inflate(source, at)
-                got, inner, inside = [], Bytes(data), 0
-                while inside < len(data):
-                    fields, inside = parse(inner, inside)
-                    got.append(fields)
-            else:
-                fields, end = parse(source, at)
-                got = [fields]
-        except (ValueError, zlib.error) as error:
-            end = next_start(source, at + 1)
-            gap = (gap[0], end, gap[2]) if gap else (at, end, str(error))
+        found: Iterator[dict | str]
+        if source.read(at, 3) == MAGIC:
+            data, end, broken = inflate(source, at)
+            found = records_in(data, broken)
+            if broken:  # a member may begin before the failure shows, but what lies before it isn't read twice
+                end = min(next_start(source, at + 1, MEMBER), next_start(source, max(end, at + 1)))
+                found = chain(found, [broken])
         else:
+            try:
+                fields, end = parse(source, at)
+                found = iter([fields])
+            except ValueError as error:
+                end = next_start(source, at + 1)
+                found = iter([str(error)])
+        for what in found:
+            if isinstance(what, str):
+                gap = (gap[0], end, gap[2]) if gap else (at, end, what)
+                continue
             if gap:
                 yield ("gap", *gap)
                 gap = None
-            for fields in got:
-                yield "record", at, end, fields
+            yield "record", at, end, what
         at = end
     if gap:
         yield ("gap", *gap)
