@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import warc
@@ -99,3 +100,16 @@ def test_records_of_a_damaged_member_are_recovered():
             assert got[-1] == "99" and got[:-1] == [str(i) for i in range(len(got) - 1)] and len(got) > 15 and gaps(bad + last)
     bare = b"WARC/1.0\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
     assert ids(gzip.compress(bare)) == [None] and ids(gzip.compress(bare)[:-8] + b"\0" * 8) == []  # nothing shows that it is whole
+
+
+def test_long_headers_and_separators_in_urls(spark, tmp_path):
+    urls = ["http://x/" + "a" * (warc.CHUNK * 2 + 5), "http://x/\x85b", "http://x/\u2028b\u2029", "\u2028http://x/\x85", "http://x/\x0b\x1c"]
+    for pack in (warc.member, bytes):
+        data = b"".join(pack(warc.record(i, u, b"p", sha(b"p"), None)) for i, u in enumerate(urls))
+        got = [x[3]["url"] for x in warc.salvage(warc.Bytes(data)) if x[0] == "record"]
+        assert got == [*urls[:4], "http://x/%0B%1C"] and gaps(data) == []
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("p"))
+    manifest = warc.write_archives(d, f"file://{tmp_path}/a")
+    assert warc.read_archives(spark, manifest, records_col="records").where("kind = 'record'").count() == len(urls)
+    with pytest.raises(Exception, match="records read"):
+        warc.read_archives(spark, manifest.withColumn("records", F.col("records") + 1), records_col="records").collect()

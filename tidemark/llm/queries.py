@@ -50,7 +50,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
     manifest = write_archives(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    rows = read_archives(spark, manifest, with_payload=False).where("kind = 'record'")
+    rows = read_archives(spark, manifest, with_payload=False, records_col="records").where("kind = 'record'")
     return rows.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
 
 

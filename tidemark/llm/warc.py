@@ -43,6 +43,7 @@ LEVEL = 3
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
 MEMBER = re.compile(re.escape(MAGIC))
+BLANK_LINE = re.compile(rb"\r?\n\r?\n")
 CUT_SHORT = "gzip member is cut short"
 START = re.compile(MEMBER.pattern + b"|" + VERSION.pattern)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -177,15 +178,18 @@ def parse(source: Bytes, start: int) -> tuple[dict, int]:
     head = source.read(start, CHUNK)
     if not (first := VERSION.match(head)):
         raise ValueError("no version line")
-    end = re.compile(rb"\r?\n\r?\n").search(head, first.end() - 1)
-    if not end:
-        raise ValueError("record header is cut short")
+    while not (end := BLANK_LINE.search(head, first.end() - 1)):
+        if start + len(head) >= source.size:
+            raise ValueError("record header is cut short")
+        head += source.read(start + len(head), max(CHUNK, len(head)))
     fields = {}
-    for line in head[first.end() : end.start()].decode("utf-8", "replace").splitlines():
-        key, colon, value = line.partition(":")
+    for line in re.split(rb"\r?\n", head[first.end() : end.start()]):  # not splitlines(): URLs may hold other separators
+        if not line:
+            continue
+        key, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon:
             raise ValueError("header line without a colon")
-        fields[key.strip().lower()] = value.strip()
+        fields[key.strip().lower()] = value.strip(" \t")
     length = fields.get("content-length", "")
     if not length.isdigit():
         raise ValueError("no content length")
@@ -285,25 +289,28 @@ def salvage(source: Bytes) -> Iterator[tuple[str, int, int, dict | str]]:
 SCHEMA = "kind string, path string, start long, end long, reason string, id string, type string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
 
-def read_archives(spark: SparkSession, manifest: DataFrame, path_col: str = "path", with_payload: bool = True) -> DataFrame:
-    """Records and gaps (`kind`) of the archives listed; one task reads an archive from start to end."""
+def read_archives(spark: SparkSession, manifest: DataFrame, path_col: str = "path", with_payload: bool = True, records_col: str | None = None) -> DataFrame:
+    """Records and gaps (`kind`) of the archives listed; one task reads an archive from start to end. With records_col, it
+    is an error if an archive gives another number of records than its manifest row says."""
 
     def read(batches):
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, stated in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows: list[tuple] = []
-                size = 0
+                size = n = 0
                 try:
                     store, name = filesystem(path)
                     source = Bytes(file=store.open_input_file(name))
                 except OSError as error:
+                    if stated is not None:
+                        raise
                     yield arrays([("gap", path, 0, None, str(error)[:200], *[None] * 7)])
                     continue
                 for kind, start, end, what in salvage(source):
                     if kind == "gap":
                         rows.append((kind, path, start, end, what, *[None] * 7))
                     else:
-                        w = what
+                        w, n = what, n + 1
                         rows.append((kind, path, start, end, None, w["id"], w["type"], w["url"], w["payload_bytes"], w["payload_digest"], w["refers_to"], w["payload"] if with_payload else None))
                         size += len(w["payload"]) * with_payload
                     if len(rows) >= 2000 or size >= 16 << 20:
@@ -311,9 +318,12 @@ def read_archives(spark: SparkSession, manifest: DataFrame, path_col: str = "pat
                         rows, size = [], 0
                 if rows:
                     yield arrays(rows)
+                if stated is not None and n != stated:
+                    raise ValueError(f"{path}: {n} records read, {stated} written")
 
     def arrays(rows):
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
 
-    return manifest.select(path_col).mapInArrow(read, SCHEMA)
+    stated = F.lit(None) if records_col is None else manifest[records_col]
+    return manifest.select(path_col, stated.cast("long").alias("_records")).mapInArrow(read, SCHEMA)
