@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import sys
 import tempfile
 import uuid
@@ -16,11 +18,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir. Only a session on one machine may leave it unset (tests);
+    it gets a temporary folder, removed when Python ends."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = getattr(sys, "_tidemark_shared", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        sys._tidemark_shared = found
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = getattr(sys, "_tidemark_shared", None)
+        if not found:
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            found = sys._tidemark_shared = "file://" + folder
     return found.rstrip("/")
 
 
@@ -42,6 +50,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -121,30 +135,71 @@ def encoded(column) -> Iterator[bytes]:
         yield b"" if x is None else x.encode()
 
 
-#: Rows of an Arrow batch, unless the session sets a number of its own: texts are long, so Spark's 10,000 are too many.
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-FEW_ROWS, SPARKS_ROWS = "1000", "10000"
+#: Bytes of texts that a function works on at a time; batches that come with more are cut into slices.
+SLICE_BYTES = 8 << 20
+
+
+def sliced(batches, at: int = 0, limit: int = SLICE_BYTES):
+    """Record batches, cut where the texts of column `at` pass limit bytes. A slice has one row at least."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if batch.num_rows < 2 or batch.column(at).nbytes <= limit:
+            yield batch
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = (np.cumsum(sizes) - sizes) // limit
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a)
 
 
 def require(df: DataFrame, *names: str) -> None:
-    """Check that df has these columns, and bound the batches that go to Python."""
-    if df.sparkSession.conf.get(BATCH_ROWS, SPARKS_ROWS) == SPARKS_ROWS:
-        df.sparkSession.conf.set(BATCH_ROWS, FEW_ROWS)
+    """Check that df has these columns."""
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns missing: {', '.join(missing)}; there are {', '.join(df.columns)}")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A name like this one that is no column's, whatever the case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without_names(columns: list[str], *names: str) -> list[str]:
+    """The columns that aren't named so, whatever the case of letters."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]
+
+
+#: Bytes that the rows of a side may hold to be broadcast, as measured before each broadcast.
+BROADCAST_BYTES = 48 << 20
+
+
+def small(df: DataFrame, *sized: str) -> bool:
+    """Whether df, which has been written or checkpointed, may be broadcast: its rows at 64 bytes each and the bytes of the
+    columns `sized` (strings, or arrays and maps at 16 bytes an entry) are counted."""
+    kinds = dict(df.dtypes)
+    size = F.lit(64)
+    for c in sized:
+        size = size + F.coalesce(F.octet_length(c) if kinds[c] in ("string", "binary") else 16 * F.size(c), F.lit(0))
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def with_computed(df: DataFrame, text_col: str, keep: list[str], fn, schema: str) -> DataFrame:
     """The columns keep of df plus those that fn computes from the Arrow array of the text column, in whole batches.
 
     fn: iterator of (rows, text array) -> iterator of (rows, [arrays]), where rows is a list of Arrow arrays that it
-    passes on unchanged, possibly for several batches joined. A kept column named like a computed one is left out.
+    passes on unchanged, possibly for several batches joined. A kept column named like a computed one, whatever the case
+    of letters, is left out. Batches come cut to SLICE_BYTES of text.
     """
     from pyspark.sql import types as T
 
     new = T.StructType.fromDDL(schema)
-    keep = [c for c in keep if c not in new.names]
+    keep = without_names(keep, *new.names)
     # A kept text is sent to Python once: it is the text column itself.
     own = keep.index(text_col) if text_col in keep and isinstance(df.schema[text_col].dataType, T.StringType) else -1
     slim = df.select(df[text_col].cast("string").alias("_text"), *[df[c].alias(f"_k{i}") for i, c in enumerate(keep) if i != own])
@@ -156,7 +211,7 @@ def with_computed(df: DataFrame, text_col: str, keep: list[str], fn, schema: str
             rows = b.columns[1:]
             return (rows if own < 0 else [*rows[:own], b.column(0), *rows[own:]]), b.column(0)
 
-        for rows, made in fn(map(pair, batches)):
+        for rows, made in fn(map(pair, sliced(batches))):
             yield pa.RecordBatch.from_arrays([*rows, *made], names)
 
     out = T.StructType([T.StructField(f"_k{i}", df.schema[c].dataType, True) for i, c in enumerate(keep)] + list(new))
