@@ -21,16 +21,18 @@ def judged(url, rules):
 
 def test_urls_equal_plain_rules(spark):
     rnd = random.Random(1)
-    rules = URL_RULES + [("a.b", "", "block"), ("a.b", "/x", "allow"), ("b", "/xyz/", "block"), ("com", "/de/deep/er", "allow")]
+    rules = URL_RULES + [("a.b", "", "block"), ("a.b", "/x", "allow"), ("b", "/xyz/", "block"), ("com", "/de/deep/er", "allow"), ("b", "/long/" + "z" * 4000, "block")]
     hosts = ["net", "x.net", "Example.NET", "www.example.net", "notexample.net", "example.com", "a.b", "A.b:80", "c.a.b", "b", "", "org", "x.org.", "." * 300 + "net"]
-    paths = ["", "/", "/en/", "/en", "/EN/x", "/de/deep/er/x", "/xyz/1", "/x", "/xy?q=/en/", "#/en/", "?/", "/fr/\n/x", "/en/" + "y" * 9000, "é/en/"]
+    paths = ["", "/", "/en/", "/en", "/EN/x", "/de/deep/er/x", "/xyz/1", "/x", "/xy?q=/en/", "#/en/", "?/", "/fr/\n/x", "/en/" + "y" * 9000, "é/en/", "/long/" + "z" * 5000]
     got_urls = [None, "", "no scheme", "http:/x", "://", "a://b://c"] + [rnd.choice(["http", "HTTPS", ""]) + "://" + rnd.choice(hosts) + rnd.choice(paths) for _ in range(400)]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(got_urls)] + [(3, "no scheme")] * 2, "page_id long, url string").withColumn("host", F.lit("x"))
     table = spark.createDataFrame(rules + [(None, "/", "block")], "host string, path string, verdict string")
     want = sorted(((i, *judged(u, rules)) for i, u in [*enumerate(got_urls), (3, "no scheme"), (3, "no scheme")]), key=repr)
-    for limit in (100, 0):  # broadcast, and shuffled with salts
-        got = sorted((tuple(r) for r in urls.judge(pages, table, broadcast_rules=limit).collect()), key=repr)
+    for options in ({}, {"broadcast_bytes": 0}, {"prefix_digits": 1}):  # broadcast, shuffled with salts, and nearly all prefixes shared
+        got = sorted((tuple(r) for r in urls.judge(pages, table, **options).collect()), key=repr)
         assert got == want
+    plan = urls.judge(pages, table)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [hash#" in plan and "[hash#" in plan and "digest#" not in plan.split("BroadcastHashJoin [")[1].split("]")[0]
     assert {r.verdict for r in urls.judge(pages, table.limit(0)).collect()} == {"allow"}
     assert urls.judge(pages.limit(0), table).collect() == []
 
