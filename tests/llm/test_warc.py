@@ -71,7 +71,7 @@ def test_pages_go_round(spark, tmp_path, monkeypatch):
         revisit = len(b) >= 1000 and i is not None and i != 9
         want.add((i, len(b), sha(b), "revisit" if revisit else "response", 9 if revisit else None))
     for k, limit in enumerate((100, 0)):
-        monkeypatch.setattr(warc, "BROADCAST_KEEPERS", limit)
+        monkeypatch.setattr(warc, "small", lambda *_, limit=limit: bool(limit))  # broadcast, and shuffled
         manifest = warc.write_archives(d, f"file://{tmp_path}/{k}", archive_bytes=600)
         assert manifest.agg(F.sum("records")).first()[0] == len(pages)
         rows = warc.read_archives(spark, manifest).collect()
@@ -113,3 +113,34 @@ def test_long_headers_and_separators_in_urls(spark, tmp_path):
     assert warc.read_archives(spark, manifest, records_col="records").where("kind = 'record'").count() == len(urls)
     with pytest.raises(Exception, match="records read"):
         warc.read_archives(spark, manifest.withColumn("records", F.col("records") + 1), records_col="records").collect()
+
+
+def test_an_archive_is_fetched_once(tmp_path):
+    import os
+
+    rnd = random.Random(6)
+    for pack in (warc.member, bytes):
+        path = f"{tmp_path}/{pack.__name__}.warc"
+        with open(path, "wb") as f:
+            for i in range(3000):
+                p = rnd.randbytes(rnd.choice([0, 40, 900, 5000]))
+                f.write(pack(warc.record(i, "u", p, sha(p), None)))
+            big = rnd.randbytes(3 * warc.CHUNK)
+            f.write(pack(warc.record("big", "u", big, sha(big), None)))
+        store, name = warc.filesystem(f"file://{path}")
+        source = warc.Bytes(file=store.open_input_file(name))
+        got = [x[3]["id"] for x in warc.salvage(source)]
+        assert got == [*map(str, range(3000)), "big"] and source.fetched <= 1.1 * os.path.getsize(path)
+
+
+def test_the_query_returns_every_page(spark, tmp_path):
+    from tidemark.llm.queries import op4_warc
+
+    pages = [(i, None if i == 3 else f"http://x/{i}\u2028\x85", [None, "", "k" * 1000, "é" * 700_000][i % 4]) for i in range(12)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in op4_warc(spark, str(tmp_path)).collect()}
+    for i, _, h in pages:
+        b = (h or "").encode()
+        keeper = max(j for j, _, x in pages if x == h)
+        again = len(b) >= 1000 and i != keeper
+        assert got[i] == (len(b), sha(b), "revisit" if again else "response", keeper if again else None)

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import Scratch, cut, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +49,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
-    manifest = write_archives(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    rows = read_archives(spark, manifest, with_payload=False, records_col="records").where("kind = 'record'")
-    return rows.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+    with Scratch(spark) as scratch:  # the archives go once they are read
+        manifest = write_archives(table(spark, sf_dir, "pages"), f"{scratch.base}/warc")
+        rows = read_archives(spark, manifest, with_payload=False, records_col="records").where("kind = 'record'")
+        return cut(rows.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to")))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Writing: one record a page, each its own gzip member, in archives of about ARCHIVE_BYTES in a shared folder. Of records
 with equal payloads of at least MIN_REVISIT bytes the one with the largest id is a response, the others revisit it.
-Payload digests are counted before any join; the pages themselves are only shuffled when there are more repeated
-payloads than BROADCAST_KEEPERS. A task names its archives anew at each attempt and the manifest lists those of the
+Payload digests are counted before any join; the pages themselves are only shuffled when the list of repeated payloads is
+larger than BROADCAST_BYTES. A task names its archives anew at each attempt and the manifest lists those of the
 attempt that counted, so archives of lost attempts are never read.
 
 Reading: member by member (or record by record where an archive isn't compressed), with gzip check sums, lengths, the
@@ -15,8 +15,9 @@ end of a member cut short by the archive's end counts as cut short too.
 
 Defined results: a null page text has an empty payload; pages that share an id and a repeated payload are responses if
 theirs is the largest id; a null id is never the largest, and its page is a response; line breaks in URLs are
-percent-encoded, null URLs left out; extra columns are ignored; an empty table writes no archive and reads back empty;
-an unreadable archive is one gap.
+percent-encoded, null URLs left out; URLs and texts of any length that fits in a task's memory are written and read whole;
+equal rows are a record each; extra columns, whatever their names, are ignored; an empty table writes no archive and reads
+back empty; an unreadable archive is one gap, or an error where the manifest's number of records is to be met.
 """
 
 from __future__ import annotations
@@ -32,12 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, require
+from .common import cut, require, sliced, small
 
 ARCHIVE_BYTES = 16 << 20
 MIN_REVISIT = 1000
-BROADCAST_KEEPERS = 100_000
-CHUNK = 1 << 18
+FIRST, CHUNK = 1 << 12, 1 << 18
 LEVEL = 3
 #: Fixed values of the format.
 MAGIC = b"\x1f\x8b\x08"
@@ -89,7 +89,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), body.alias("body"), F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n"))
     repeated = rows.where((F.col("n") >= MIN_REVISIT) & F.col("id").isNotNull()).groupBy("digest").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     repeated = cut(repeated.select(F.col("digest").alias("key"), "keeper"))
-    if repeated.count() <= BROADCAST_KEEPERS:
+    if small(repeated, "key"):
         met = rows.join(F.broadcast(repeated), F.col("digest") == F.col("key"), "left")
     else:  # short pages keep keys of their own, so none gather in one task; a long repeated payload is split by AQE
         met = rows.withColumn("at", F.when(F.col("n") >= MIN_REVISIT, F.col("digest")).otherwise(F.concat_ws(" ", "digest", F.xxhash64("id", "url").cast("string")))).join(repeated, F.col("at") == F.col("key"), "left")
@@ -107,7 +107,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             out.close()
             done.append((f"{folder}/{name}", records, size))
 
-        for batch in batches:
+        for batch in sliced(batches, 2):
             for page_id, url, body, digest, to in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     name, records = f"{uuid.uuid4().hex}.warc.gz", 0
@@ -129,35 +129,57 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 class Bytes:
-    """Random access to bytes in memory, or to an Arrow file, with a small window."""
+    """Random access to bytes in memory, or to an Arrow file through a window that moves on as it is read, so that a file
+    read in order is fetched once. `fetched` counts the bytes taken from the file."""
 
     def __init__(self, data=None, file=None):
         self.data, self.file = data, file
         self.size = len(data) if file is None else file.size()
+        self.at, self.window, self.fetched = 0, b"", 0
 
     def read(self, start: int, n: int) -> bytes:
         if self.file is None:
             return bytes(self.data[start : start + n])
-        self.file.seek(start)
-        return self.file.read(min(n, max(0, self.size - start)))
+        n = min(n, max(0, self.size - start))
+        end = self.at + len(self.window)
+        if not (self.at <= start and start + n <= end):
+            kept = self.window[start - self.at :] if self.at <= start <= end else b""
+            self.file.seek(start + len(kept))
+            got = self.file.read(min(max(n - len(kept), CHUNK), self.size - start - len(kept)))
+            self.fetched += len(got)
+            self.at, self.window = start, kept + got
+        return self.window[start - self.at : start - self.at + n]
+
+
+def chunks(source: Bytes, start: int) -> Iterator[bytes]:
+    """The bytes from start on, in pieces that grow from FIRST to CHUNK: most members and headers are short."""
+    n = FIRST
+    while chunk := source.read(start, n):
+        yield chunk
+        start += len(chunk)
+        n = min(2 * n, CHUNK)
 
 
 def inflate(source: Bytes, start: int) -> tuple[bytes, int, str | None]:
     """The content of the gzip member at start, where it ends, and None; or the content before a failure, where the
     failure is, and what it is."""
     unpacker, out, at = zlib.decompressobj(31), [], start
-    while not unpacker.eof:
-        chunk = source.read(at, CHUNK)
-        if not chunk:
-            return b"".join(out), at, CUT_SHORT
-        before = unpacker.copy()
+    for chunk in chunks(source, start):
         try:
             out.append(unpacker.decompress(chunk))
-        except zlib.error as error:
-            good, n = prefix(before, chunk)
+        except zlib.error as error:  # again up to this chunk, and then as far into it as it goes
+            again = zlib.decompressobj(31)
+            for before in chunks(source, start):
+                if at == start:
+                    break
+                again.decompress(before)
+                start += len(before)
+            good, n = prefix(again, chunk)
             return b"".join([*out, good]), at + n, str(error)
         at += len(chunk)
-    return b"".join(out), at - len(unpacker.unused_data), None
+        if unpacker.eof:
+            return b"".join(out), at - len(unpacker.unused_data), None
+    return b"".join(out), at, CUT_SHORT
 
 
 def prefix(unpacker, chunk: bytes) -> tuple[bytes, int]:
@@ -175,13 +197,15 @@ def prefix(unpacker, chunk: bytes) -> tuple[bytes, int]:
 
 def parse(source: Bytes, start: int) -> tuple[dict, int]:
     """The uncompressed record at start, and where it ends; ValueError if a check fails."""
-    head = source.read(start, CHUNK)
+    head = source.read(start, FIRST)
     if not (first := VERSION.match(head)):
         raise ValueError("no version line")
-    while not (end := BLANK_LINE.search(head, first.end() - 1)):
+    seen = first.end() - 1
+    while not (end := BLANK_LINE.search(head, seen)):
         if start + len(head) >= source.size:
             raise ValueError("record header is cut short")
-        head += source.read(start + len(head), max(CHUNK, len(head)))
+        seen = max(seen, len(head) - 3)
+        head += source.read(start + len(head), max(FIRST, len(head)))
     fields = {}
     for line in re.split(rb"\r?\n", head[first.end() : end.start()]):  # not splitlines(): URLs may hold other separators
         if not line:
