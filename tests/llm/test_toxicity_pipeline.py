@@ -1,6 +1,8 @@
 import random
+import zlib
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity
@@ -42,7 +44,11 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert by[1000] == by[1001] < 0.3
     again = toxicity.fit(d.repartition(5), lab.repartition(3))
     assert abs(again[1] - model[1]) < 1e-6 and abs(again[0] - model[0]).max() < 1e-6  # the same whatever the partitioning
+    d = d.withColumn("_score", F.lit("y")).withColumn("_H", F.lit("z"))
     left = toxicity.reject_toxic(d, lab)
+    assert {(r.score, r._score, r._H) for r in left.collect()} == {("x", "y", "z")}
+    upper = d.drop("score").withColumnRenamed("_score", "Score")
+    assert {r.Score for r in toxicity.reject_toxic(upper, lab).collect()} == {"y"}
     assert left.columns == d.columns and left.where("doc_id IN (0, 4, 8)").count() == 0 and left.where("doc_id IN (1, 2, 5)").count() == 3
 
 
@@ -56,6 +62,61 @@ def test_without_labels_or_with_one_class(spark):
     assert toxicity.score(d.limit(0), toxicity.fit(d.limit(0), none)).collect() == []
 
 
+def test_sample_takes_repeats_once_and_long_texts_at_last(spark):
+    docs, labels = made(60)
+    long = [(i, t + " calm" * 5000 + f" n{i}", a, b, c) for i, t, a, b, c in docs]
+    d, lab = spark.createDataFrame(docs + [docs[4]] * 50 + [(900, docs[4][1], "en", "s", 0)], DOCS), spark.createDataFrame(labels + [(900, 1, 1)], LABELS)
+    rows, texts = toxicity.labelled(d, lab, "doc_id", "text", "toxic"), toxicity.texts_of(d, "doc_id", "text")
+    every = np.ones(toxicity.SIZE, bool)
+    lists, y = toxicity.fit_sample(rows, texts, 10, 20_000, every)
+    assert len(lists) == 20 and y.sum() == 10 and len({f.tobytes() for f in lists}) == 20
+    d = spark.createDataFrame(long, DOCS)
+    rows, texts = toxicity.labelled(d, lab, "doc_id", "text", "toxic"), toxicity.texts_of(d, "doc_id", "text")
+    lists, y = toxicity.fit_sample(rows, texts, 10, 6_000, every)  # all too long: as many as there is room for
+    assert 0 < y.sum() < len(y) < 20 and toxicity.fit(d, lab, fit_chars=100)[0].any()
+
+
+def test_gradient_in_parts_is_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    lists = [np.unique(rng.integers(0, 400, rng.integers(0, 90))) for _ in range(60)]
+    y, ratio = (rng.random(60) < 0.4).astype(float), np.zeros(toxicity.SIZE)
+    ratio[:400] = rng.normal(size=400)
+    whole = toxicity.weights(lists, y, ratio, np.array([40, 20]))
+    monkeypatch.setattr(toxicity, "FIT_ENTRIES", 100)
+    parts = toxicity.weights(lists, y, ratio, np.array([40, 20]))
+    assert np.allclose(whole[0], parts[0]) and abs(whole[1] - parts[1]) < 1e-9
+
+
+def test_counts_and_query_equal_plain_ones(spark, tmp_path):
+    """Feature counts by class, scores and the query's columns against sets of n-grams counted one by one."""
+    from tidemark.llm.queries import op2_toxicity
+
+    docs, labels = made(120, 8)
+    docs += [(500, None, None, None, None), (501, "", None, None, None)]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    d, lab = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    n, seen = toxicity.class_counts(toxicity.labelled(d, lab, "doc_id", "text", "toxic"))
+    learnt = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    texts = {x[0]: x[1] or "" for x in docs}
+    grams = lambda t: {t[k : k + m] for m in toxicity.ORDERS for k in range(len(t) - m + 1)}
+    number = lambda g: toxicity.features(g.encode(), np.zeros(toxicity.SIZE, bool))
+    assert n.tolist() == [sum(v == c for v in learnt.values()) for c in (0, 1)]
+    for g in ("moron", "the ", "ou", "ent", "zzq"):
+        whole = set(number(g).tolist()) - {f for s in grams(g) - {g} for f in number(s).tolist()}
+        for f in whole:
+            for c in (0, 1):
+                assert seen[c, f] >= sum(g in grams(texts[i].lower()) for i, v in learnt.items() if v == c)
+    model = toxicity.fit(d, lab)
+    got = {r.doc_id: r for r in op2_toxicity(spark, str(tmp_path)).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        on = {f for g in grams(t.lower()) for f in number(g).tolist()}
+        score = 1 / (1 + np.exp(-(sum(model[0][f] for f in on) + model[1])))
+        assert abs(got[i].score - score) < 1e-9 and got[i].predicted == int(got[i].score >= 0.3)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     docs, labels = made(200, 3)
     some = {x[0] for x in docs if (x[0] % 4 or x[0] % 16 == 0 or x[0] < 9) and x[0] not in range(101, 110)}  # toxic ones are rare

@@ -2,14 +2,16 @@
 
 A text's features are the hashed n-grams (2 to 5 characters, lower case) that occur in it. Their log-count ratios come from
 all labelled training documents, counted in one pass that sums a vector a task before the shuffle. A logistic regression
-on the scaled features is then fitted on a bounded sample, at most FIT_ROWS distinct texts a class of up to FIT_CHARS
-characters each, and its intercept corrected to the share of toxic documents among all labelled ones. Scoring is a sum of
-weights, in Arrow batches, with a weight vector of fixed size.
-
-Defined results: null and empty texts have no features and get the intercept's score; labels that are null or belong to
-no document are ignored; of several labels of one document the largest holds; with only one class, or none, every
-document gets the share of toxic labels (0 without labels) as score; equal texts get equal scores; extra columns are
-ignored.
+on the scaled features is then fitted on a bounded sample and its intercept corrected to the share of toxic documents
+among all labelled ones. The sample has at most FIT_ROWS distinct texts a class, chosen by a hash of the text, those of up
+to FIT_CHARS characters first; longer ones fill it up as long as it has no more than FIT_ROWS * FIT_CHARS characters.
+Scoring is a sum of weights, in Arrow batches, with a weight vector of fixed size.
+
+Defined results: null and empty texts have no features and get the intercept's score; texts of any length are counted and
+scored whole; labels that are null or belong to no document are ignored; of several labels of one document, or of equal
+texts in the sample, the largest holds; with only one class, or none, every document gets the share of toxic labels (0
+without labels) as score; equal texts get equal scores, and repeated rows are in the sample once; an empty table gives an
+empty one; extra columns, whatever their names, are ignored by `score` and kept as they are by `reject_toxic`.
 """
 
 from __future__ import annotations
@@ -21,16 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, encoded, mixed, require, with_computed, worker_state
+from .common import encoded, give_back, mixed, require, sliced, small, unused, with_computed, worker_state
 
 ORDERS = (2, 3, 4, 5)
 BITS = 18
 SIZE = 1 << BITS
 BLOCK = 1 << 12
-#: Bounds of the sample that the weights are fitted on, of labels that are broadcast, and the score of a rejection.
+#: Bounds of the sample that the weights are fitted on, and the score of a rejection.
 FIT_ROWS, FIT_CHARS = 1500, 20_000
-BROADCAST_LABELS = 400_000
 THRESHOLD = 0.3
+#: Entries of the sample that a gradient step looks at together.
+FIT_ENTRIES = 1 << 20
 
 
 def held_out(id_col: Column) -> Column:
@@ -65,7 +68,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     broadcast only while there are few."""
     one = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_label"))
     one = one.where(~held_out(F.col("_id")))
-    few = labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    few = small(one, *(["_id"] if one.schema["_id"].dataType.simpleString() in ("string", "binary") else []))
     return texts_of(docs, id_col, text_col).join(F.broadcast(one) if few else one, "_id")
 
 
@@ -82,7 +85,7 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         seen = flags()
         totals = np.zeros((2, SIZE), np.int64)
         n = np.zeros(2, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for text, label in zip(encoded(batch.column(0)), batch.column(1).to_pylist()):
                 totals[label, features(text, seen)] += 1
                 n[label] += 1
@@ -107,24 +110,35 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return docs, seen
 
 
-def fit_sample(rows: DataFrame, texts: DataFrame, fit_rows: int, fit_chars: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most fit_rows distinct texts a class, chosen by a hash of the text."""
-    short = rows.where(F.col("_n") <= fit_chars).groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_label").alias("_label"))
-    chosen = None
+def fit_sample(rows: DataFrame, texts: DataFrame, fit_rows: int, fit_chars: int, useful: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The useful features (an array of flags) and labels of at most fit_rows distinct texts a class."""
+    distinct = rows.groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_label").alias("_label"), F.min("_n").alias("_n"))
+    chosen: list[tuple] = []
     for label in (0, 1):
-        part = short.where(F.col("_label") == label).orderBy("_h", "_id").limit(fit_rows)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = cut(chosen)
-    sample = texts.join(F.broadcast(chosen), ["_id", "_h"]).select("_text", "_label")
+        room = fit_rows * fit_chars
+        ranked = distinct.where(F.col("_label") == label).orderBy(F.col("_n") > fit_chars, "_h", "_id").limit(fit_rows)
+        for k, r in enumerate(ranked.collect()):  # fit_rows rows at most, without texts
+            room -= r["_n"]
+            if k and room < 0:
+                break
+            chosen.append((r["_id"], r["_h"], label))
+    ids = rows.schema["_id"].dataType.simpleString()
+    wanted = rows.sparkSession.createDataFrame(chosen, f"_id {ids}, _h long, _label int")
+    sample = texts.join(F.broadcast(wanted), ["_id", "_h"]).select("_text", "_h", "_label")
+    shipped = rows.sparkSession.sparkContext.broadcast(useful)
 
     def listed(batches):
-        seen = flags()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t, seen).astype(np.int32).tobytes() for t in encoded(batch.column(0))], pa.binary()), batch.column(1)], ["f", "label"])
+        seen, useful = flags(), shipped.value
+        done: set[int] = set()
+        for batch in sliced(batches):
+            keep = [k for k, h in enumerate(batch.column(1).to_pylist()) if not (h in done or done.add(h))]  # repeated rows once a task
+            batch = batch.take(pa.array(keep, pa.int64()))
+            found = (features(t, seen) for t in encoded(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([f[useful[f]].astype(np.int32).tobytes() for f in found], pa.binary()), batch.column(2)], ["h", "f", "label"])
 
-    got = sample.mapInArrow(listed, "f binary, label int").collect()
-    got = sorted({(bytes(r.f), r.label) for r in got})[: 4 * fit_rows]
-    return [np.frombuffer(f, np.int32) for f, _ in got], np.array([label for _, label in got], float)
+    got = sample.mapInArrow(listed, "h long, f binary, label int").groupBy("h").agg(F.min("f").alias("f"), F.max("label").alias("label"))
+    got = got.orderBy("h").toArrow()  # a row a chosen text, at most 2 * fit_rows
+    return [np.frombuffer(f.as_py(), np.int32) for f in got.column("f")], got.column("label").to_numpy().astype(float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> tuple[np.ndarray, float]:
@@ -139,28 +153,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rate = (seen + 1.0) / (seen.sum(axis=1, keepdims=True) + 1.0 * SIZE)
     ratio = np.log(rate[1] / rate[0])
     ratio[(seen.sum(axis=0) < 3) | (np.abs(ratio) < 0.7)] = 0
-    lists, y = fit_sample(rows, texts_of(docs, id_col, text_col), fit_rows, fit_chars)
-    return weights(lists, y, ratio, n)
+    lists, y = fit_sample(rows, texts_of(docs, id_col, text_col), fit_rows, fit_chars, ratio != 0)
+    if not 0 < y.sum() < len(y):  # equal texts labelled both ways can leave the sample without a class
+        return np.zeros(SIZE), math.log(n[1] / n[0])
+    got = weights(lists, y, ratio, n)
+    del lists
+    give_back()
+    return got
 
 
 def weights(lists: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, n: np.ndarray, steps: int = 150, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on the scaled features by accelerated gradient steps."""
-    lists = [f[ratio[f] != 0] for f in lists]
+    """Logistic regression on the scaled features by accelerated gradient steps, some texts at a time."""
     sizes = np.array([len(f) for f in lists])
     used, flat = np.unique(np.concatenate(lists), return_inverse=True)
-    scale = ratio[used]
-    value = scale[flat]
-    owner = np.repeat(np.arange(len(lists)), sizes)
-    square = np.bincount(owner, value**2, minlength=len(lists))
-    step = 4.0 / (float(square.mean()) * 2 + 1)
+    flat, scale = flat.astype(np.int32), ratio[used]
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    groups = np.flatnonzero(np.diff(begins // FIT_ENTRIES, prepend=-1)).tolist()  # first texts of groups of about FIT_ENTRIES
+    parts = list(zip(groups, [*groups[1:], len(lists)]))
+
+    def each(part: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        a, b = part
+        return flat[begins[a] : ends[b - 1]], np.repeat(np.arange(b - a), sizes[a:b])
+
+    square = sum(float((scale[each(p)[0]] ** 2).sum()) for p in parts) / len(lists)
+    step = 4.0 / (square * 2 + 1)
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both classes weigh alike
     w, b = np.zeros(len(used)), 0.0
     v, c = w.copy(), b
     for t in range(steps):
-        z = np.bincount(owner, value * v[flat], minlength=len(lists)) + c
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        nw = v - step * (np.bincount(flat, error[owner] * value, minlength=len(used)) + ridge * v)
-        nb = c - step * float(error.sum())
+        scaled, gradient, errors = v * scale, ridge * v, 0.0
+        for p in parts:
+            at, owner = each(p)
+            z = np.bincount(owner, scaled[at], minlength=p[1] - p[0]) + c
+            error = weight[p[0] : p[1]] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[p[0] : p[1]])
+            gradient += np.bincount(at, error[owner], minlength=len(used)) * scale
+            errors += float(error.sum())
+        nw, nb = v - step * gradient, c - step * errors
         momentum = t / (t + 3)
         v, c = nw + momentum * (nw - w), nb + momentum * (nb - b)
         w, b = nw, nb
@@ -169,8 +198,8 @@ def weights(lists: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, n: np.nda
     return out, b + math.log(n[1] / n[0])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, kept columns, score) of every document."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """(id, kept columns, score) of every document; `name` is the score's. A kept column of that name is left out."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def fn(pairs):
@@ -180,11 +209,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
             z = np.array([w[features(t, seen)].sum() + b for t in encoded(texts)], float)
             yield rows, [pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())]
 
-    return with_computed(docs, text_col, [id_col, *(c for c in keep if c != id_col)], fn, "score double")
+    return with_computed(docs, text_col, [id_col, *(c for c in keep if c != id_col)], fn, f"{name} double")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents, all columns, that score below the threshold."""
-    plain = docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs
-    rows = score(plain, fit(docs, labels, id_col, text_col, **options), id_col, text_col, keep=tuple(plain.columns))
-    return rows.where(F.col("score") < threshold).select(*[F.col("_score" if c == "score" else c).alias(c) for c in docs.columns])
+    name = unused(docs.columns, "score")
+    rows = score(docs, fit(docs, labels, id_col, text_col, **options), id_col, text_col, keep=tuple(docs.columns), name=name)
+    return rows.where(F.col(name) < threshold).select(*docs.columns)
