@@ -8,12 +8,14 @@ length occurs; the range of suffixes that begin with it gives all its places. No
 Only words that the benchmark has can match, so a shard's array holds just the suffixes within runs of such words that
 are long enough for the shortest window; this loses no match.
 
-The benchmark is broadcast in blocks of at most BLOCK_BYTES of text; a larger benchmark takes more passes, each of
-which adds its hits to those found before.
-
-Defined results: null and empty texts have no words and no hits; items without words have no window; an item of fewer
-words than a window is one window; items that share an id count once; a null id counts as "null"; repeated documents
-are judged alike; an empty benchmark leaves all documents clean.
+The benchmark is numbered once on the driver and broadcast as arrays, in blocks of at most BLOCK_BYTES of text. Of a larger
+benchmark a task holds one block at a time, searches its shard for it and adds the hits to those found before. An item that is longer than a block is cut
+into runs of words that overlap by a window less one word, so that each of its windows is in one of them.
+
+Defined results: null and empty texts have no words and no hits; texts of any length are searched whole; items without
+words have no window; an item of fewer words than a window is one window; items that share an id count once; a null id
+counts as "null"; repeated documents are judged alike; an empty benchmark leaves all documents clean; an empty table gives
+an empty one. `mark` leaves out kept columns that are named like its own, `decontaminate` keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, require, with_computed
+from .common import encoded, require, sliced, unused, with_computed
 
 WINDOW = 10
 SHARD_BYTES = 12 << 20
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 #: Bytes of a word: digits, a-z and all of other scripts; A-Z count as a-z, the rest separates.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -42,23 +44,25 @@ def words_of(text: bytes) -> list[bytes]:
 class TestSuffixes:
     """All suffixes of a block of benchmark items, as numbers of the block's vocabulary (0: not in it)."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.names = sorted({name for name, _ in items})
+    def __init__(self, items: list[tuple[str, int, bytes]], window: int):
+        self.names = sorted({name for name, _, _ in items})
         at = {name: i for i, name in enumerate(self.names)}
         self.vocabulary: dict[bytes, int] = {}
         flat: list[int] = []
-        starts, lengths, owners, sizes = [], [], [], []
-        for name, text in items:
+        starts, lengths, owners, sizes, places = [], [], [], [], []
+        for name, first, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             size = min(window, len(ids))
             for k in range(len(ids)):
                 starts.append(len(flat) + k)
                 lengths.append(len(ids) - k)
                 owners.append(at[name])
+                places.append(first + k)
                 sizes.append(size if len(ids) - k >= size else 0)  # 0: too near to the end for a window
             flat += ids
-        self.flat = np.array([*flat, 0], np.int64)
-        self.starts, self.lengths, self.owners, self.sizes = (np.array(x, np.int64) for x in (starts, lengths, owners, sizes))
+        self.flat = np.array([*flat, 0], np.int32)
+        self.starts, self.lengths, self.owners, self.sizes = (np.array(x, np.int32) for x in (starts, lengths, owners, sizes))
+        self.item_words = np.array(places, np.int32)  # where in its item a suffix begins
         self.shortest = int(self.sizes[self.sizes > 0].min()) if len(starts) else 0
         self.longest = int(self.lengths.max()) if len(starts) else 0
 
@@ -187,79 +191,122 @@ def joined(old: list, new: list) -> list:
     return out
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
+def runs_of(name: str, text: bytes, block_bytes: int, window: int) -> list[tuple[str, int, bytes]]:
+    """The item and 0, or where it is longer than a block its words in overlapping runs of about half a block, and at
+    which of its words each begins."""
+    if len(text) <= block_bytes:
+        return [(name, 0, text)]
+    words, out, a = words_of(text), [], 0
+    ends = np.cumsum([len(w) + 1 for w in words])
+    while a < len(words):
+        b = max(a + window, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + block_bytes // 2, side="right")))
+        if len(words) - b < window:
+            b = len(words)
+        out.append((name, a, b" ".join(words[a:b])))
+        a = len(words) if b == len(words) else b - window + 1
+    return out
+
+
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, window: int):
     """How many blocks the benchmark makes, and a function from a block's number to its items. The driver holds one block
     at a time, of not much more than block_bytes."""
     rows = benchmark.select(F.coalesce(benchmark[id_col].cast("string"), F.lit("null")).alias("id"), F.coalesce(benchmark[text_col].cast("string"), F.lit("")).alias("text"))
+    if (rows.agg(F.max(F.octet_length("text"))).first()[0] or 0) > block_bytes:
+
+        def cut(batches):
+            for batch in batches:
+                for name, text in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
+                    for run in runs_of(name, text, block_bytes, window):
+                        yield pa.RecordBatch.from_arrays([pa.array([run[0]]), pa.array([run[1]]), pa.array([run[2].decode()])], ["id", "first", "text"])
+
+        rows = rows.mapInArrow(cut, "id string, first long, text string")
+    else:
+        rows = rows.select("id", F.lit(0).cast("long").alias("first"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
 
-    def block(k: int) -> list[tuple[str, bytes]]:
+    def block(k: int) -> list[tuple[str, int, bytes]]:
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        return [(r.id, r.text.encode()) for r in part.collect()]
+        return [(r.id, r["first"], r.text.encode()) for r in part.collect()]
 
     return n, block
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, kept columns, n_words, spans array<struct<start,end>> of hit words, items array<string> sorted)."""
+#: Names of what `mark` computes, and their types.
+MARKS = {"n_words": "long", "spans": "array<struct<start:int,end:int>>", "items": "array<string>"}
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, block_bytes: int = BLOCK_BYTES, names: tuple[str, str, str] = tuple(MARKS)) -> DataFrame:
+    """(id, kept columns, n_words, spans array<struct<start,end>> of hit words, items array<string> sorted); names are those
+    of the last three."""
     require(docs, id_col, text_col, *keep)
     require(benchmark, item_id, item_text)
     spark = docs.sparkSession
-    names = [id_col, *(c for c in keep if c != id_col)]
-    n, block = blocks_of(benchmark, item_id, item_text, block_bytes)
-    found = docs.select(*dict.fromkeys([*names, text_col]))
-    for k in range(n):
-        shipped = spark.sparkContext.broadcast(block(k))
-        if k:
-            found = found.drop("n_words").withColumnsRenamed({"spans": "_spans", "items": "_items"})
-        last = k == n - 1
-        kept = [c for c in found.columns if c != text_col or text_col in names or not last]
-        found = with_computed(found, text_col, kept, marker(shipped, window, k > 0), MARKS).drop("_spans", "_items")
-    return found
-
-
-MARKS = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
-
-
-def marker(shipped, window: int, again: bool):
-    """The batch function of one pass; again: the last two of the rows' columns hold what earlier passes found."""
+    n, block = blocks_of(benchmark, item_id, item_text, block_bytes, window)
+    shipped = [spark.sparkContext.broadcast(TestSuffixes(block(k), window)) for k in range(n)]
+    schema = ", ".join(f"{name} {kind}" for name, kind in zip(names, MARKS.values()))
 
     def fn(pairs):
-        tests = TestSuffixes(shipped.value, window)
-        rows, texts, size = [], [], 0
-
-        def out():
-            counts, spans, items, _ = search(texts, tests)
-            whole = [pa.concat_arrays([r[i] for r in rows]) for i in range(len(rows[0]))]
-            if again:
-                spans = [joined([(x["start"], x["end"]) for x in a], b) for a, b in zip(whole[-2].to_pylist(), spans)]
-                items = [sorted({*a, *b}) for a, b in zip(whole[-1].to_pylist(), items)]
+        for whole, texts in shards_of(pairs):
+            counts, spans, items = [], None, None
+            for tests in held(shipped):
+                counts, more, found, _ = search(texts, tests)
+                spans = more if spans is None else [joined(a, b) for a, b in zip(spans, more)]
+                items = found if items is None else [sorted({*a, *b}) for a, b in zip(items, found)]
             marks = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            return whole, [pa.array(counts, pa.int64()), marks, pa.array(items, pa.list_(pa.string()))]
+            yield whole, [pa.array(counts, pa.int64()), marks, pa.array(items, pa.list_(pa.string()))]
+
+    return with_computed(docs, text_col, [id_col, *(c for c in keep if c != id_col)], fn, schema)
+
+
+def held(shipped: list):
+    """The values of broadcasts one by one, of which a task keeps only the last in memory."""
+    for b in shipped:
+        yield b.value
+        if len(shipped) > 1:
+            b.__dict__.pop("_value", None)
+
+
+def shards_of(pairs):
+    """(rows' arrays, texts) of whole documents, SHARD_BYTES at a time."""
+    rows, texts, size = [], [], 0
+    for r, column in pairs:
+        new = list(encoded(column))
+        rows.append(r)
+        texts += new
+        size += sum(map(len, new))
+        if size >= SHARD_BYTES:
+            yield [pa.concat_arrays([x[i] for x in rows]) for i in range(len(r))], texts
+            rows, texts, size = [], [], 0
+    if texts:
+        yield [pa.concat_arrays([x[i] for x in rows]) for i in range(len(rows[0]))], texts
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(item, item_word, n_words, id, word): for every benchmark suffix that occurs over a window or more (for shorter items,
+    over the whole item) its longest verbatim match in all documents, and the first place of those that are so long. Each
+    shard gives its longest; a task of the aggregate holds a row a suffix, never documents."""
+    require(docs, id_col, text_col)
+    require(benchmark, item_id, item_text)
+    n, block = blocks_of(benchmark, item_id, item_text, block_bytes, window)
+    texts = docs.select(docs[text_col].cast("string").alias("text"), docs[id_col].alias("id"))
+    shipped = [docs.sparkSession.sparkContext.broadcast(TestSuffixes(block(k), window)) for k in range(n)]
 
-        for r, column in pairs:
-            new = list(encoded(column))
-            rows.append(r)
-            texts += new
-            size += sum(map(len, new))
-            if size >= SHARD_BYTES:
-                yield out()
-                rows, texts, size = [], [], 0
-        if texts:
-            yield out()
+    def find(batches):
+        for (ids,), shard in shards_of(([b.column(1)], b.column(0)) for b in sliced(batches)):
+            for tests in held(shipped):
+                found = search(shard, tests)[3]
+                s, words, d, place = (np.array(x, np.int64) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
+                names = pa.array([tests.names[o] for o in tests.owners[s]], pa.string())
+                yield pa.RecordBatch.from_arrays([names, pa.array(tests.item_words[s].astype(np.int64)), pa.array(words), ids.take(pa.array(d)), pa.array(place)], ["item", "item_word", "n_words", "id", "word"])
 
-    return fn
+    every = texts.mapInArrow(find, f"item string, item_word long, n_words long, id {texts.schema['id'].dataType.simpleString()}, word long")
+    best = every.groupBy("item", "item_word").agg(F.min(F.struct((-F.col("n_words")).alias("back"), "id", "word")).alias("x"))
+    return best.select("item", "item_word", (-F.col("x.back")).alias("n_words"), F.col("x.id").alias(id_col if id_col.lower() not in ("item", "item_word", "n_words", "word") else "id"), F.col("x.word").alias("word"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all columns, in which no window of the benchmark occurs."""
-    marked = mark(docs, benchmark, id_col, text_col, keep=tuple(docs.columns), **options)
-    return marked.where(F.size("spans") == 0).select(*docs.columns)
-
-
-def longest_matches(texts: list[bytes], items: list[tuple[str, bytes]], window: int = WINDOW) -> list[dict]:
-    """For one shard of texts, each benchmark suffix whose longest verbatim match reaches a window: the item, the words
-    matched, and one document and word where the match begins."""
-    tests = TestSuffixes(items, window)
-    return [{"item": tests.names[tests.owners[s]], "words": n, "document": d, "word": w} for s, n, d, w in search(texts, tests)[3]]
+    names = tuple(unused(docs.columns, name) for name in MARKS)
+    marked = mark(docs, benchmark, id_col, text_col, keep=tuple(docs.columns), names=names, **options)
+    return marked.where(F.size(names[1]) == 0).select(*docs.columns)
