@@ -46,11 +46,60 @@ def test_decontamination_of_empty_tables(spark):
     assert rows_of(suffixes.mark(one, b)) == [(1, 2, 0, 0, brute.sha(""), False)]
 
 
-def test_longest_match_and_place():
-    text = b"x x one two three four five six seven eight nine ten eleven y"
-    item = b"zero one two three four five six seven eight nine ten eleven twelve"
-    got = suffixes.longest_matches([b"nothing", text], [("i", item)])
-    assert {"item": "i", "words": 11, "document": 1, "word": 2} in got and len(got) == 2
+def test_longest_matches_are_rows_with_places(spark, monkeypatch):
+    docs, items = made(7)
+    items = [x for x in items if x[1]]
+    word = lambda t: suffixes.words_of((t or "").encode())
+    want = {}
+    for name, text in items:
+        w = word(text)
+        for k in range(len(w)):
+            size = min(10, len(w))
+            for d, t in docs:
+                v = word(t)
+                for p in range(len(v)):
+                    n = 0
+                    while n < len(w) - k and p + n < len(v) and v[p + n] == w[k + n]:
+                        n += 1
+                    if n >= size and len(w) - k >= size:
+                        key = (str(name) if name is not None else "null", k)
+                        want[key] = min(want.get(key, (1, 0, 0)), (-n, d, p))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    assert len({n for n, _ in items}) == len(items) and len(want) > 3
+    for options in ({}, {"block_bytes": 150}):
+        got = {(r.item, r.item_word): (-r.n_words, r.doc_id, r.word) for r in suffixes.longest_matches(d, b, **options).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        for (name, k), (n, doc, p) in got.items():
+            v, w = word(dict(docs)[doc]), word(dict((str(a) if a is not None else "null", t) for a, t in items)[name])
+            assert v[p : p - n] == w[k : k - n]
+    assert suffixes.longest_matches(d.limit(0), b).collect() == [] == suffixes.longest_matches(d, b.limit(0)).collect()
+
+
+def test_an_item_longer_than_a_block_loses_no_window(spark):
+    rnd = random.Random(2)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+    docs = [(k, " ".join(words[k : k + 10])) for k in range(291)] + [(999, " ".join(words[:9] + words[50:59]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    for size in (100, 333, 1 << 20):
+        found = {r.doc_id: len(r["items"]) for r in suffixes.mark(d, b, block_bytes=size).collect()}
+        assert found == {k: int(k != 999) for k, _ in docs}
+
+
+def test_clashing_columns_keep_their_values(spark):
+    docs, items = made()
+    d = spark.createDataFrame([(i, t, "a", "b", "c", "d") for i, t in docs], "doc_id long, text string, N_Words string, spans string, items string, old_spans string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 100):
+        left = suffixes.decontaminate(d, b, block_bytes=size)
+        assert left.columns == d.columns and {tuple(r)[2:] for r in left.collect()} == {("a", "b", "c", "d")}
+
+
+def test_very_long_and_repeated_documents(spark):
+    item = "alpha beta gamma delta one two three four five six seven"
+    long = "filler words " * 150_000 + item + " more" * 1000
+    d = spark.createDataFrame([(1, long), (1, long), (2, item.upper() * 1), (3, "nothing")], "doc_id long, text string")
+    got = rows_of(suffixes.mark(d, spark.createDataFrame([(5, item), (5, item)], "item_id long, text string")))
+    assert got == sorted(brute.decontamination([(1, long), (1, long), (2, item.upper()), (3, "nothing")], [(5, item)]), key=repr)
 
 
 def test_ledger_equals_brute_force(spark):
@@ -62,6 +111,29 @@ def test_ledger_equals_brute_force(spark):
     assert got == {i: brute.quality(t) for i, t in enumerate(texts)}
 
 
+def test_two_policies_and_ablations_read_one_stored_ledger(spark, tmp_path):
+    rnd = random.Random(6)
+    docs = [(i, "\n".join(" ".join(rnd.choices(["aa", "B", "#", "dé", f"w{rnd.randrange(99)}"], k=rnd.randrange(40))) for _ in range(rnd.randrange(9)))) for i in range(150)]
+    d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, FAILED string")
+    rows = quality.write_ledger(d, f"{tmp_path}/ledger", keep=("FAILED",))
+    assert "text" not in rows.columns and rows.columns.count("failed") == 1 and "FAILED" not in rows.columns
+    failed = {r.doc_id: r.failed for r in rows.collect()}
+    for version in (1, 2):
+        m = quality.mask(version)
+        assert {r.doc_id: r.kept for r in quality.apply_policy(rows, version).collect()} == {i: f & m == 0 for i, f in failed.items()}
+        want = {}
+        for rule in quality.POLICIES[version]:
+            bit = 1 << list(quality.RULES).index(rule)
+            want[rule] = (sum(f & bit > 0 for f in failed.values()), sum(f & m == bit for f in failed.values()), sum(f & m & ~bit == 0 for f in failed.values()), len(docs))
+        assert {r.rule: tuple(r)[1:] for r in quality.ablations(rows, version).collect()} == want
+
+
+def test_very_long_text(spark):
+    text = "word other thing\n" * 60_000
+    r = quality.ledger(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_dup_lines, r.n_repeat_words, r.n_lines) == (180_000, 59_999, 180_000, 60_000)
+
+
 def test_ablations_count_what_each_rule_costs(spark):
     d = spark.createDataFrame([(1, "a"), (2, " ".join(f"w{i}" for i in range(60))), (3, "x y z " * 30), (4, "HELLO # " * 3)], "doc_id long, text string")
     rows = quality.ledger(d)

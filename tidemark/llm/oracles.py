@@ -57,7 +57,7 @@ m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w,
   FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
   + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 16 ELSE 0 END + CASE WHEN 2 * cap > let THEN 32 ELSE 0 END AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, CAST(failed AS BIGINT) AS failed FROM f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, CAST(failed AS BIGINT) AS failed, failed & 3 = 0 AS kept_v1 FROM f"""
 
 LINE_DEDUP = rf"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 b AS (SELECT doc_id, unnest(l) AS body, generate_subscripts(l, 1) AS ln FROM s),

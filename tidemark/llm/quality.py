@@ -1,11 +1,14 @@
 """Quality rules as a bitmask ledger.
 
 Each text is measured once; every rule is evaluated once on the measurements and stored as one bit of `failed` (bit k
-for rule k). Policies are versioned masks over those bits, so applying another version, or asking what each rule costs,
-reads the ledger and never the texts again. Ablations are counts over bit operations, combined before any shuffle.
-
-Defined results: a null text has no words and fails the rule on word count; an empty table gives an empty ledger;
-repeated rows are judged alike; extra columns are left out of the ledger, or kept by `apply_policy` on request.
+for rule k). `write_ledger` stores the ledger as Parquet; policies are versioned masks over its bits, so applying another
+version, or asking what each rule costs, reads the ledger and never the texts again. Ablations count the patterns of failed
+bits, combined before the shuffle; what each rule costs follows from at most 2 ** rules patterns by bit tests.
+
+Defined results: a null or empty text has no words and fails the rule on word count; texts of any length are measured
+whole; an empty table gives an empty ledger, with ablations of 0; repeated rows are judged alike; extra columns are left out
+of the ledger unless `keep` names them, and kept columns that are named like the ledger's own, whatever the case, are left
+out.
 """
 
 from __future__ import annotations
@@ -98,15 +101,29 @@ def apply_policy(rows: DataFrame, version: int = CURRENT) -> DataFrame:
     return rows.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(version))) == 0)
 
 
+def write_ledger(docs: DataFrame, path: str, **options) -> DataFrame:
+    """Store the ledger at path and read it back."""
+    rows = ledger(docs, **options)
+    rows.write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def ablations(rows: DataFrame, version: int = CURRENT) -> DataFrame:
-    """For each rule of a policy: how many documents fail it, fail it alone, and would be kept without it. One pass; the
-    partial sums of a task are one row."""
+    """For each rule of a policy: how many documents fail it, fail it alone, and would be kept without it. One pass over a
+    ledger, which counts the patterns of its bits."""
     names, m = list(RULES), mask(version)
-    hit = F.col("failed").bitwiseAND(F.lit(m))
-    sums = [F.count(F.lit(1)).alias("n"), F.sum((hit == 0).cast("long")).alias("k")]
-    for r in POLICIES[version]:
-        bit = 1 << names.index(r)
-        sums += [F.sum((hit.bitwiseAND(F.lit(bit)) != 0).cast("long")).alias(f"f_{r}"), F.sum((hit == bit).cast("long")).alias(f"o_{r}")]
-    one = rows.agg(*sums)
-    structs = [F.struct(F.lit(r).alias("rule"), F.coalesce(F.col(f"f_{r}"), F.lit(0)).alias("n_failed"), F.coalesce(F.col(f"o_{r}"), F.lit(0)).alias("n_only"), (F.coalesce(F.col("k"), F.lit(0)) + F.coalesce(F.col(f"o_{r}"), F.lit(0))).alias("n_kept_without"), F.col("n").alias("n_docs")) for r in POLICIES[version]]
-    return one.select(F.inline(F.array(*structs)))
+    patterns = rows.groupBy(F.col("failed").bitwiseAND(F.lit(m)).alias("hit")).agg(F.count(F.lit(1)).alias("n"))
+    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << names.index(r)).cast("long").alias("bit")) for r in POLICIES[version]])
+    listed = rows.sparkSession.range(1).select(F.inline(rules))
+    # Every rule with every pattern: at most rules * 2 ** rules rows, whatever the input.
+    each = patterns.withColumn("r", F.explode(rules))
+    counted = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0)))
+    bit, hit = F.col("r.bit"), F.col("hit")
+    sums = each.groupBy(F.col("r.rule").alias("rule")).agg(
+        counted(hit.bitwiseAND(bit) != 0).alias("n_failed"),
+        counted(hit == bit).alias("n_only"),
+        counted(hit.bitwiseAND(F.bitwise_not(bit)) == 0).alias("n_kept_without"),
+        F.sum("n").alias("n_docs"),
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return listed.join(sums, "rule", "left").select("rule", *map(zero, ("n_failed", "n_only", "n_kept_without", "n_docs")))

@@ -65,11 +65,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import apply_policy, ledger, mask
+    from .quality import apply_policy, mask, write_ledger
 
-    rows = apply_policy(ledger(table(spark, sf_dir, "documents")))
-    base = F.col("failed").bitwiseAND(F.lit(mask(1))) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
+    ledger = write_ledger(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    rows = apply_policy(ledger).withColumn("kept_v1", F.col("failed").bitwiseAND(F.lit(mask(1))) == 0)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("kept_v1")).alias("base_failed"), "kept", "failed", "kept_v1")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
