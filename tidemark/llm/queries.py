@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, shared_dir
+from .common import Scratch, cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,25 +66,20 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import apply_policy, mask, write_ledger
 
-    ledger = write_ledger(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
-    rows = apply_policy(ledger).withColumn("kept_v1", F.col("failed").bitwiseAND(F.lit(mask(1))) == 0)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("kept_v1")).alias("base_failed"), "kept", "failed", "kept_v1")
+    with Scratch(spark) as scratch:
+        ledger = write_ledger(table(spark, sf_dir, "documents"), f"{scratch.base}/ledger")
+        rows = apply_policy(ledger).withColumn("kept_v1", F.col("failed").bitwiseAND(F.lit(mask(1))) == 0)
+        return cut(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("kept_v1")).alias("base_failed"), "kept", "failed", "kept_v1"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import write_shards
 
-    rows = write_shards(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", 24)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return rows.select(
-        "doc_id",
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.lit("rows").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    with Scratch(spark) as scratch:
+        rows = write_shards(table(spark, sf_dir, "documents"), f"{scratch.base}/shards", 24)
+        text = F.coalesce(F.col("text"), F.lit(""))
+        size, crc = (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+        return cut(rows.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
