@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
-from .lines import FUZZY_WORDS, MIN_WORDS
+from .lines import FUZZY_WORDS, MIN_WORDS, PARTNER_WORDS
 
 FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 BLANK = r"\x20\x09-\x0D"
@@ -65,7 +65,7 @@ w AS (SELECT *, list_filter(regexp_split_to_array(body, '[{BLANK}]+'), lambda x:
 d AS (SELECT w, len(w) AS n, min(place) AS p FROM w WHERE len(w) >= {MIN_WORDS} GROUP BY w),
 v AS (SELECT w, p, i, list_concat(w[1 : i - 1], w[i + 1 :]) AS g FROM (SELECT w, p, unnest(range(1, n + 1)) AS i FROM d WHERE n >= {FUZZY_WORDS})),
 near AS (SELECT w FROM (SELECT w, p, min(p) OVER (PARTITION BY g, i) AS q FROM v) WHERE q < p
-  UNION SELECT v.w FROM v JOIN d ON v.g = d.w AND d.n >= {FUZZY_WORDS} WHERE d.p < v.p
+  UNION SELECT v.w FROM v JOIN d ON v.g = d.w AND d.n >= {PARTNER_WORDS} WHERE d.p < v.p
   UNION SELECT d.w FROM v JOIN d ON v.g = d.w AND d.n >= {FUZZY_WORDS} WHERE v.p < d.p),
 k AS (SELECT x.doc_id, x.ln, x.body, len(x.w) >= {MIN_WORDS} AND (x.place <> d.p OR near.w IS NOT NULL) AS gone FROM w x LEFT JOIN d ON x.w = d.w LEFT JOIN near ON x.w = near.w),
 t AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(body, chr(10) ORDER BY ln) FILTER (WHERE NOT gone), '') AS text FROM k GROUP BY doc_id)
