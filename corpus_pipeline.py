@@ -1,6 +1,12 @@
 """The corpus pipeline: five stages from raw documents to encoded ones.
 
-Each stage is a function (spark, docs, sf_dir) -> DataFrame; all but the last return the columns of documents.
+Each stage is a function (spark, docs, sf_dir) -> DataFrame; all but the last return the columns of documents, with their
+values (line dedup changes text and n_chars).
+
+Defined results: null and empty texts aren't toxic, have no lines, shingles or windows, and encode to no ids; texts of any
+length are taken whole; of rows that repeat, lines of the first stay, and of a group of near copies the one of the smallest
+id (then text hash; null ids last); further columns, whatever their names, pass through all stages but the last; an empty
+table of documents, labels or benchmark gives what its stage's module states, and never an error.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, lines, pieces, suffixes, toxicity
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, cut, unused
 from tidemark.llm.queries import table, tokenizer_model
 
 #: SQL can't express the classifier and the encoder.
@@ -27,8 +33,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat, or nearly repeat, an earlier line anywhere are taken out, and with them documents that have no
     words left; n_chars follows the text."""
-    left = lines.dedup_lines(docs, **lines.EVERY_LINE).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    count = unused(docs.columns, "n_removed")
+    left = lines.dedup_lines(docs, count=count).where((F.col(count) == 0) | F.col("text").rlike(WORD))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +67,16 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder before the next reads them."""
     docs, last = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
-        scratch = Scratch(spark)
-        docs = scratch.keep(name, stage(spark, docs, sf_dir))
+    try:
+        for name, stage in STAGES[:-1]:
+            scratch = Scratch(spark)
+            before, last = last, scratch
+            try:
+                docs = scratch.keep(name, stage(spark, docs, sf_dir))
+            finally:
+                if before:
+                    before.drop()
+        return cut(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
         if last:
             last.drop()
-        last = scratch
-    return STAGES[-1][1](spark, docs, sf_dir)
