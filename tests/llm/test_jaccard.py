@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard
+from tidemark.llm.common import Scratch
 
 
 def corpus(seed, n=160):
@@ -36,18 +37,42 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, size, num, frequ
     assert got == sorted(brute.jaccard_components(docs, size, num))
 
 
+@pytest.mark.parametrize("option,value", [("FAT_POSTINGS", 10), ("BLOCK_BYTES", 3000), ("digest", 6), ("SHIPPED_FREQUENT", 5)])
+def test_other_ways_give_the_same(spark, monkeypatch, option, value):
+    """Fat buckets, large blocks dealt into parts, digests that clash in the bits the search carries, and few frequent shingles."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    if option == "digest":
+        whole = jaccard.digest
+        monkeypatch.setattr(jaccard, "digest", lambda tokens: ((d := whole(tokens))[0] % value, d[1]))
+    else:
+        monkeypatch.setattr(jaccard, option, value)
+        if option == "BLOCK_BYTES":
+            for f in (jaccard.blocks, jaccard.split_blocks, jaccard.links):
+                monkeypatch.setattr(f, "__defaults__", (value,))
+    docs = corpus(11, 120)
+    d = spark.createDataFrame(docs + docs[:9], "doc_id long, text string").repartition(3)
+    got = sorted(set(map(tuple, jaccard.grouped(d, size=3, num=90).collect())))
+    if option == "digest":  # classes that clash and have no other partner don't meet each other
+        got, docs = [x for x in got if x[1] > 0], [x for x in docs if x[1] and x[1].strip()]
+    assert got == sorted(brute.jaccard_components(docs, 3, 90))
+
+
 def test_split_blocks_lose_no_link(spark):
     docs = corpus(7, 80)
     sets = {doc: jaccard.shingles((t or "").encode(), 3) for doc, t in docs}
     rows = [(doc, s.tobytes()) for doc, s in sets.items() if len(s)]
-    table = spark.createDataFrame([(v, bytearray(t)) for v, t in rows], "v long, tokens binary")
-    met = table.select(F.lit(0).cast("long").alias("hub"), "v", "tokens")
-    for size in (1 << 20, 4000):
+    table = spark.createDataFrame([(v, v, bytearray(t)) for v, t in rows], "v long, u long, tokens binary")
+    met = table.select(F.lit(0).cast("long").alias("hub"), "v", "u", "tokens")
+    for size, seeds in ((1 << 20, 32), (4000, 32), (4000, 0)):  # one block; parts with seeds; parts that only visits connect
+        jaccard.SEEDS = seeds
         parts = jaccard.split_blocks(met.select("hub", F.octet_length("tokens").alias("size")), size)
-        found = jaccard.links(met, parts, 90, 100)
-        got = {r.v: r.label for r in jaccard.components(found).collect()}
+        assert parts.count() == (size == 4000)
+        with Scratch(spark) as scratch:
+            found = jaccard.links(met, parts, 90, 100, scratch, size)
+            got = {int(r.v[:16], 16): int(r.label[:16], 16) for r in jaccard.components(found).collect()}
         want = {d: c for d, _, c in brute.jaccard_components(docs)}
         assert all(got.get(d, d) == c for d, c in want.items())
+    jaccard.SEEDS = 32
 
 
 def test_skipped_lists_keep_exact_overlaps():
@@ -81,4 +106,26 @@ def test_empty_table_and_shared_ids(spark):
     d = spark.createDataFrame([(1, "a b c d"), (1, "e f g h"), (2, "E f g h"), (None, "a b c d"), (None, "q r s t")], empty.schema)
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.grouped(d).collect()), key=repr)
     assert got == sorted([(1, 1), (1, 1), (2, 1), (None, 1), (None, None)], key=repr)
-    assert sorted(r.text for r in jaccard.keep_one(d, size=3, num=90).collect()) == ["a b c d", "a b c d", "e f g h", "q r s t"]
+    assert sorted(r.text for r in jaccard.keep_one(d, size=3, num=90).collect()) == ["a b c d", "e f g h", "q r s t"]
+
+
+def test_keep_one_leaves_one_row_a_group_and_all_columns(spark):
+    rnd = random.Random(8)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(80)]
+    near = [*words[:40], "new", *words[40:]]
+    base, other = " ".join(words), " ".join(near)
+    rows = [(5, base), (3, other), (3, "clean text of its own that stays here"), (None, other), (None, "x y z a b c d"), (None, "x y z a b c d"), (9, None), (9, None), (4, ""), (7, base), (3, other), (3, other)]
+    d = spark.createDataFrame([(i, t, "p", "q", "r", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _gone string, _id string, LABEL string, k int").repartition(3)
+    left = jaccard.keep_one(d)
+    got = left.collect()
+    assert left.columns == d.columns and {(r._gone, r._id, r.LABEL) for r in got} == {("p", "q", "r")}
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(3, other), (3, "clean text of its own that stays here"), (None, "x y z a b c d"), (9, None), (9, None), (4, "")], key=repr)
+    assert jaccard.keep_one(d.limit(0)).collect() == [] and jaccard.keep_one(d.where("k IN (2, 6, 8)")).count() == 3
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(9)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(120_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:119_000])), (3, " ".join(words[60_000:]))]
+    got = {r.doc_id: r.component_id for r in jaccard.grouped(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
