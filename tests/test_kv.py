@@ -157,6 +157,12 @@ def test_codec_round_trip(spark):
     assert [r.v for r in bad.select(codec.decode(F.col("b")).alias("v")).collect()] == [None] * 5
 
 
+def test_run_names(spark):
+    from tidemark.functions.keys import run_file_name
+
+    assert [r[0] for r in spark.createDataFrame([(7,), (123456,)], "n long").select(run_file_name(F.col("n"))).collect()] == ["sst-00007.sst", "sst-123456.sst"]
+
+
 def test_bloom_sizes_and_probes(spark):
     got = spark.range(1).select(bloom.parameters(F.lit(1000)).alias("p")).first().p
     assert (got.bits, got.bits_per_key, got.probes) == (9585, 10, 6) and got.bytes == 1199
@@ -209,11 +215,141 @@ def test_store_follows_a_dictionary(spark, tmp_path):
     again = KVStore.open(spark, store.path)
     assert again.get(b"big") == 2**64 - 1
     again.compact_all()
-    again.vacuum()
+    again.vacuum(0)
     assert again.state.runs and all(r["level"] >= 1 for r in again.state.runs) and again.changelog().where("op = 'delete'").count() == 0
     assert {bytes(r.key) for r in again.live().collect()} == set(model) | {b"big"}
 
 
+def i64(n):
+    return ("i64", None, None, None, n, None, None)
+
+
+def changes(spark, rows):
+    return spark.createDataFrame([(bytearray(k), s, "delete" if v is None else "put", None if v is None else i64(v)) for k, s, v in rows], CHANGELOG)
+
+
+def test_late_changes_dont_bring_deleted_keys_back(spark, tmp_path):
+    store = KVStore.open(spark, f"file://{tmp_path}/kv")
+    store.write_log(changes(spark, [(b"k", 1, 1), (b"m", 2, 2)]))
+    store.write_log(changes(spark, [(b"k", 7, None)]))
+    store.compact_all()
+    store.write_log(changes(spark, [(b"k", 5, 5), (b"m", 6, 6)]))  # late: the delete is still there
+    assert store.get(b"k") is None and store.get(b"m") == 6
+    store.compact_all()
+    store.advance(9)
+    store.compact_all()
+    assert store.changelog().where("op = 'delete'").count() == 0 and store.get(b"k") is None and store.state.floor == 7
+    with pytest.raises(ValueError):
+        store.write_log(changes(spark, [(b"k", 5, 5)]))
+    store.write_log(changes(spark, [(b"k", 5, 5), (b"n", 20, 20)]), late="drop")
+    assert store.get(b"k") is None and store.get(b"n") == 20
+    own = KVStore.open(spark, f"file://{tmp_path}/own")  # without late changes deletes go at the bottom
+    own.put(b"k", 1)
+    own.delete(b"k")
+    own.compact_all()
+    assert own.changelog().count() == 0 and own.state.floor == 2
+    with pytest.raises(ValueError):
+        own.write_log(changes(spark, [(b"k", 1, 1)]))
+
+
+def test_scans_outlive_flush_and_compaction(spark, tmp_path):
+    store = KVStore.open(spark, f"file://{tmp_path}/kv")
+    store.put(b"a", 1)
+    store.sync()
+    before = store.scan(b"a", b"z")
+    store.flush()
+    flushed = store.scan(b"a", b"z")
+    store.put(b"b", 2)
+    store.compact_all()
+    store.vacuum()
+    assert [bytes(r.key) for r in before.collect()] == [b"a"] == [bytes(r.key) for r in flushed.collect()]
+    assert [bytes(r.key) for r in store.scan(b"a", b"z").collect()] == [b"a", b"b"]
+    assert len(store.state.retired) == 4
+    store.vacuum(0)
+    assert store.state.retired == [] and len(store._list("runs")) == 1 and store._list("log") == [] and len(store._versions()) == 1
+    assert store.get(b"a") == 1 and KVStore.open(spark, store.path).get(b"b") == 2
+
+
+def test_writes_survive_crashes_and_failed_syncs(spark, tmp_path):
+    store = KVStore.open(spark, f"file://{tmp_path}/kv")
+    values = {b"alpha": "value_a", b"beta": b"\x00\xff", b"c": -1.5, b"d": 2**64 - 1, b"e": True, b"": ""}
+    for k, v in values.items():
+        store.put(k, v, "u64" if k == b"d" else None)
+    store.delete(b"c")
+    real, store._log = store._log, lambda rows: (_ for _ in ()).throw(OSError("disk full"))
+    with pytest.raises(OSError):
+        store.sync()
+    assert store.get(b"alpha") == "value_a"  # still buffered
+    crashed = KVStore.open(spark, store.path)
+    assert {bytes(r.key) for r in crashed.live().collect()} == set(values) - {b"c"}
+    assert all(crashed.get(k) == v for k, v in values.items() if k != b"c") and crashed._list("wal") == []
+    crashed.put(b"alpha", "newer")
+    crashed.put(b"last", 1)
+    path = crashed.wal[0].removeprefix("file:")
+    data = open(path, "rb").read()
+    open(path, "wb").write(data[:-3])  # the last write was cut off
+    again = KVStore.open(spark, store.path)
+    assert again.get(b"alpha") == "newer" and again.get(b"last") is None
+    again.put(b"alpha", "newest")
+    assert again.get(b"alpha") == "newest"
+    again.close()
+    assert KVStore.open(spark, store.path).get(b"alpha") == "newest"
+
+
+def test_buffers_freeze_and_are_logged_together(spark, tmp_path):
+    store = KVStore.open(spark, f"file://{tmp_path}/kv", max_buffer=10)
+    store.put(b"a", "x" * 20)
+    store.put(b"b", "x" * 20)
+    assert len(store.frozen) == 2 and store.state.logs == [] and store.get(b"a") == "x" * 20
+    store.put(b"a", "y" * 20)
+    assert store.frozen == [] and len(store.state.logs) == 1 and store.get(b"a") == "y" * 20
+
+
+def tiered(**change):
+    base = {"hot_ttl_s": 10**6, "max_hot": 10**6, "small_bytes": 1 << 30, "max_output_bytes": 1 << 40, "cold_max_bytes": 1 << 40}
+    return policy.Tiered(**base | change)
+
+
+def test_tiered_actions_are_carried_out(spark, tmp_path):
+    now = [0.0]
+    store = KVStore.open(spark, f"file://{tmp_path}/kv", clock=lambda: now[0])
+    for n, rows in enumerate([{b"a": 1, b"b": 1}, {b"a": 2, b"c": 2}, {b"b": None, b"d": 3}, {b"c": None, b"e": 4}]):
+        now[0] = 100.0 * n
+        for k, v in rows.items():
+            store.put(k, v) if v is not None else store.delete(k)
+        store.flush()
+    state = lambda: {bytes(r.key): r.value.i for r in store.live().collect()}
+    every = {b"a": 2, b"d": 3, b"e": 4}
+    assert state() == every and store.compact(tiered()) is None
+    assert store.compact(tiered(max_hot=3, max_output_bytes=sum(r["size"] for r in store.state.runs[2:]))) == "HotMerge"
+    assert [(r["level"], r["id"], r["entries"], r["created"]) for r in store.state.runs][-1] == (0, 2, 3, 100.0) and len(store.state.runs) == 3 and state() == every
+    assert store.compact(tiered(hot_ttl_s=100)) == "Promote"  # runs of 100 and 200, not that of 300
+    assert [r["level"] for r in store.state.runs] == [0, 1, 1] and state() == every
+    small = policy.Leveled(base_bytes=1)
+    assert store.compact(tiered(), small) == "ColdCompact" and sorted(r["level"] for r in store.state.runs) == [0, 1, 2] and state() == every
+    assert store.compact(tiered(), small) == "ColdCompact" and state() == every  # the deletes held back older versions till now
+    cold = [r for r in store.state.runs if r["level"]]
+    now[0] = min(r["created"] for r in cold) + 50
+    assert store.compact(tiered(cold_ttl_s=51)) is None
+    now[0] = max(r["created"] for r in cold) + 50
+    assert store.compact(tiered(cold_ttl_s=50)) == "ColdEvictTtl" and all(r["level"] == 0 for r in store.state.runs) and state() == {b"e": 4}
+    assert store.compact(tiered(hot_ttl_s=0)) == "Promote" and store.compact(tiered(cold_max_bytes=0)) == "ColdEvictSize" and state() == {}
+    assert KVStore.open(spark, store.path).state == store.state
+
+
+def test_multi_get_and_empties(spark, tmp_path):
+    store = KVStore.open(spark, f"file://{tmp_path}/kv")
+    for n in range(5):
+        store.put(bytes([n]), n)
+        store.flush()
+    keys = spark.createDataFrame([(bytearray(b"\x01"),), (bytearray(b"\x02"),), (bytearray(b"\x02"),)], "key binary")
+    got = store.multi_get(keys)
+    assert sorted(r.value.i for r in got.collect()) == [1, 2] and len(got.inputFiles()) == 2
+    assert store.multi_get(keys.limit(0)).collect() == []
+    rows = spark.createDataFrame([("put", bytearray(b"")), ("put", bytearray(b"x")), ("delete", None)], "op string, b binary")
+    assert [r.e for r in rows.select(codec.is_empty(F.col("op"), F.col("b")).alias("e")).collect()] == [True, False, True]
+
+
 def test_second_writer_fails(spark, tmp_path):
     a = KVStore.open(spark, f"file://{tmp_path}/kv")
     b = KVStore.open(spark, f"file://{tmp_path}/kv")

@@ -1,6 +1,7 @@
 """Sizes of Bloom filters, and membership by double hashing.
 
-Parquet writes and probes its own filters (see sources.store), so these serve planning and checks.
+Parquet writes and probes its own filters (see sources.store), so these serve planning and checks. A filter here is a table
+of words: of bit position p the word number is p / 64 and the bit p % 64.
 """
 
 from __future__ import annotations
@@ -27,3 +28,16 @@ def probes(key: Column, bits: Column, k: int) -> Column:
     """The k bit positions of a key."""
     h1, h2 = F.xxhash64(key), F.xxhash64(F.lit(1), key).bitwiseOR(F.lit(1))
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(F.pmod(h1, bits) + i * F.pmod(h2, bits), bits))
+
+
+def word_of(position: Column) -> Column:
+    return F.floor(position / 64)
+
+
+def bit_in_word(position: Column) -> Column:
+    """The word with this position's bit set; words of a filter are combined by bit_or."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (position % 64).cast("int"))
+
+
+def is_set(word: Column, position: Column) -> Column:
+    return F.getbit(F.coalesce(word, F.lit(0).cast("long")), (position % 64).cast("int")) == 1

@@ -6,9 +6,9 @@ functions; doubles take an Arrow UDF, as SQL has no cast between doubles and byt
 
 from __future__ import annotations
 
-import struct
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,12 +21,29 @@ TAGS = {"String": 1, "Bytes": 2, "f64": 3, "i64": 4, "u64": 5, "bool": 6}
 
 @F.arrow_udf(T.BinaryType())
 def double_bytes(x: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else struct.pack("<d", v) for v in x.to_pylist()], pa.binary())
+    data = np.ascontiguousarray(x.to_numpy(zero_copy_only=False), "<f8")
+    made = pa.Array.from_buffers(pa.binary(8), len(data), [None, pa.py_buffer(data)]).cast(pa.binary())
+    return pc.if_else(x.is_valid(), made, pa.scalar(None, pa.binary()))
 
 
 @F.arrow_udf(T.DoubleType())
 def bytes_double(x: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else struct.unpack("<d", v)[0] for v in x.to_pylist()], pa.float64(), from_pandas=False)
+    data = np.frombuffer(b"".join(pc.fill_null(x, bytes(8)).to_pylist()), "<f8")
+    return pa.array(data, pa.float64(), mask=x.is_null().to_numpy(zero_copy_only=False), from_pandas=False)
+
+
+def tagged(value: tuple) -> bytes:
+    """The tagged bytes of one value row (kind, then a field a kind), in Python."""
+    import struct
+
+    kind, s, b, f, i, u, t = value
+    body = {"String": lambda: s.encode(), "Bytes": lambda: bytes(b), "f64": lambda: struct.pack("<d", f), "i64": lambda: struct.pack("<q", i), "u64": lambda: struct.pack("<Q", int(u)), "bool": lambda: bytes([t])}
+    return bytes([TAGS[kind]]) + body[kind]()
+
+
+def is_empty(op: Column, data: Column) -> Column:
+    """Whether an entry has nothing to show: a delete, or a put of no bytes."""
+    return (op == "delete") | (F.octet_length(data) == 0)
 
 
 def swapped(hexes: Column) -> Column:

@@ -37,3 +37,8 @@ def value_of(kind: str, field: Column) -> Column:
     chosen = FIELD_OF[kind]
     parts = [F.lit(kind).alias("kind")] + [(field if f.name == chosen else F.lit(None)).cast(f.dataType).alias(f.name) for f in VALUE.fields[1:]]
     return F.struct(*parts)
+
+
+def run_file_name(number: Column) -> Column:
+    """The name under which a run of this number is listed (a fixed format): five digits or more."""
+    return F.format_string("sst-%05d.sst", number)

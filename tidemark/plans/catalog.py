@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bloom, codec
-from ..functions.keys import DELETE, PUT, int_key, value_of
+from ..functions.keys import DELETE, PUT, int_key, run_file_name, value_of
 from ..operators import merge, policy
 from ..operators.segment import segments
 from ..sources import log, manifest
@@ -21,7 +21,9 @@ from ..streaming.ingest import latest_stream
 #: Parameters of the queries: keys, file policies and segment sizes, chosen so that each has work at every scale.
 GET, DELETED, LOW, HIGH = 7, 5, 4, 60
 LEVELED = policy.Leveled(multiplier=2, max_levels=3, level0_threshold=2, base_bytes=40_000)
-TIERED = policy.Tiered(hot_ttl_s=200_000, max_hot=4, small_bytes=7_000, max_output_bytes=40_000, cold_max_bytes=150_000, cold_ttl_s=500_000)
+TIERED = policy.Tiered(hot_ttl_s=200_000, max_hot=4, small_bytes=1 << 40, max_output_bytes=1 << 42, cold_max_bytes=150_000, cold_ttl_s=500_000)
+#: Options under which only cold compaction is left to do.
+COLD = policy.Tiered(hot_ttl_s=1 << 40, max_hot=1 << 30, small_bytes=1, max_output_bytes=1, cold_max_bytes=1 << 60)
 FREEZE_BYTES, BLOCK_BYTES = 2_000, 400
 
 
@@ -89,8 +91,13 @@ def tiers(spark, sf_dir) -> list[DataFrame]:
     """The log cut into four runs by seq, newest first, each with one row a key."""
     a, b = bounds(spark, sf_dir)
     rows = oplog(spark, sf_dir)
-    quarter = F.floor((F.col("seq") - a) * 4 / (b - a + 1))
-    return [merge.latest_wins(rows.where(quarter == q)) for q in (3, 2, 1, 0)]
+    return [merge.latest_wins(rows.where(F.col("seq").between(*quarter(a, b, q)))) for q in (3, 2, 1, 0)]
+
+
+def quarter(a: int, b: int, q: int) -> tuple[int, int]:
+    """The first and last seq of a quarter of a..b, as bounds that Parquet can use."""
+    n = b - a + 1
+    return a - (-q * n // 4), a - (-(q + 1) * n // 4) - 1
 
 
 TIER = f"{LOG}, edge AS (SELECT min(seq) AS a, max(seq) AS b FROM log), tier AS (SELECT log.*, 3 - CAST(floor((seq - a) * 4 / (b - a + 1)) AS INT) AS t FROM log, edge)"
@@ -229,15 +236,151 @@ def bloom_params(spark, sf_dir):
     return m.select("file_id", "entries", bloom.parameters(F.col("entries")).alias("p")).select("file_id", "entries", "p.bits", "p.bytes", "p.bits_per_key", "p.probes")
 
 
-def bloom_no_false_negative(spark, sf_dir):
-    """Per file, keys whose probe finds an unset bit: always none."""
+def fifo_pick_cold(spark, sf_dir):
+    """What is picked when neither age nor sizes of files call for anything: a cold compaction."""
+    return policy.pick_tiered(files(spark, sf_dir), COLD, LEVELED, now(spark, sf_dir))
+
+
+def bloom_probe(spark, sf_dir):
+    """A filter a file, as stored words, probed with the file's own keys, of which it must miss none, and with as many
+    others, of which at most 1 in 20 may pass (1 in 100 is what the size is for)."""
     keys = file_rows(spark, sf_dir).select("file_id", "key").distinct()
-    sized = keys.groupBy("file_id").agg(bloom.parameters(F.count(F.lit(1))).alias("p")).select("file_id", "p.bits")
-    probed = keys.join(sized, "file_id").select("file_id", "key", F.explode(bloom.probes(F.col("key"), F.col("bits"), 6)).alias("bit"))
-    unset = probed.join(probed.select("file_id", "bit").distinct(), ["file_id", "bit"], "left_anti")
-    missing = unset.groupBy("file_id").agg(F.countDistinct("key").alias("n"))
-    counts = keys.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_keys"))
-    return counts.join(missing, "file_id", "left").select("file_id", "n_keys", F.coalesce("n", F.lit(0)).alias("n_missed"))
+    sized = keys.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_keys"), bloom.parameters(F.count(F.lit(1))).alias("p")).select("file_id", "n_keys", "p.bits", "p.probes")
+    known = keys.join(sized, "file_id")
+    strange = known.withColumn("key", F.concat(F.lit(b"not "), "key"))
+    at = lambda rows: rows.select("file_id", "key", F.explode(bloom.probes(F.col("key"), F.col("bits"), 6)).alias("bit"))
+    words = at(known).groupBy("file_id", bloom.word_of(F.col("bit")).alias("word")).agg(F.bit_or(bloom.bit_in_word(F.col("bit"))).alias("bits"))
+
+    def passing(rows: DataFrame, name: str) -> DataFrame:
+        probed = at(rows).withColumn("word", bloom.word_of(F.col("bit"))).join(words, ["file_id", "word"], "left")
+        each = probed.groupBy("file_id", "key").agg(F.min(bloom.is_set(F.col("bits"), F.col("bit")).cast("int")).alias("all"))
+        return each.groupBy("file_id").agg(F.sum("all").alias(name))
+
+    met = sized.join(passing(known, "own"), "file_id").join(passing(strange, "other"), "file_id")
+    return met.select("file_id", "n_keys", (F.col("n_keys") - F.col("own")).alias("n_missed"), (F.col("other") * 20 <= F.greatest("n_keys", F.lit(60))).alias("few_others"))
+
+
+def run_names(spark, sf_dir):
+    return files(spark, sf_dir).select("file_id", run_file_name(F.col("file_id")).alias("name"))
+
+
+# ---------------------------------------------------------------- a store on disk
+
+
+def change_log(rows: DataFrame) -> DataFrame:
+    """The op log with the store's own values."""
+    return rows.select("key", "seq", F.when(F.col("gone"), DELETE).otherwise(PUT).alias("op"), F.when(~F.col("gone"), value_of("f64", F.col("value"))).alias("value"))
+
+
+def stored(spark, sf_dir, quarters=(0, 1, 2, 3), clock=None):
+    """A new store with a run of level 0 for each quarter of the op log, oldest first."""
+    import uuid
+
+    from ..sources.store import KVStore, shared_dir
+
+    a, b = bounds(spark, sf_dir)
+    clock = clock or Clock()
+    store = KVStore.open(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", clock=clock)
+    rows = change_log(oplog(spark, sf_dir))
+    for q in quarters:
+        clock.now += 100
+        part = rows.where(F.col("seq").between(*quarter(a, b, q)))
+        store.write_log(part)
+        store.flush()
+    return store
+
+
+class Clock:
+    """A clock that is set by hand."""
+
+    def __init__(self):
+        self.now = 0.0
+
+    def __call__(self) -> float:
+        return self.now
+
+
+def values(rows: DataFrame) -> DataFrame:
+    return rows.select(F.hex("key").alias("key"), "seq", F.col("value.f").alias("value"))
+
+
+def store_scan(spark, sf_dir):
+    """A range of a store of four runs."""
+    low, high = (k.to_bytes(8, "big") for k in (LOW, HIGH))
+    return values(stored(spark, sf_dir).scan(low, high))
+
+
+def store_multi_get(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(int_key(F.col("c_custkey")).alias("key"))
+    return values(stored(spark, sf_dir).multi_get(keys))
+
+
+def store_compacted(spark, sf_dir):
+    """Leveled steps till none is due, then all in one run, with old versions and old deletes gone."""
+    store = stored(spark, sf_dir)
+    while store.compact(policy.Leveled(base_bytes=1, max_levels=3)):
+        pass
+    store.advance(bounds(spark, sf_dir)[1])
+    store.compact_all()
+    store.vacuum(0)
+    assert len(store.state.runs) <= 1
+    rows = store.changelog()
+    return rows.select(F.hex("key").alias("key"), "seq", "op", F.col("value.f").alias("value"))
+
+
+def store_reopened(spark, sf_dir):
+    """A store whose writer stopped without closing: two quarters flushed, one logged, three single writes in the
+    write-ahead log only; opened again."""
+    from ..sources.store import KVStore
+
+    store = stored(spark, sf_dir, (0, 1))
+    a, b = bounds(spark, sf_dir)
+    store.write_log(change_log(oplog(spark, sf_dir)).where(F.col("seq").between(quarter(a, b, 2)[0], b)))
+    store.put(b"\xff", 1.5)
+    store.put(b"\xff\xff", 2.5)
+    store.delete(b"\xff")
+    return values(KVStore.open(spark, store.path).live()).select("key", "value")
+
+
+def run_rows(store, action: str | None) -> DataFrame:
+    return store.metadata().select(F.lit(action).alias("action"), "level", "entries")
+
+
+def store_promoted(spark, sf_dir):
+    """The runs after those past the TTL, the two oldest, have been promoted."""
+    clock = Clock()
+    store = stored(spark, sf_dir, clock=clock)
+    times = sorted(r["created"] for r in store.state.runs)
+    clock.now = times[1] + 10
+    return run_rows(store, store.compact(policy.Tiered(hot_ttl_s=10, max_hot=100, small_bytes=1, max_output_bytes=1, cold_max_bytes=1 << 60)))
+
+
+def store_hot_merged(spark, sf_dir):
+    """The runs after the three oldest of four small hot ones have been merged into one."""
+    store = stored(spark, sf_dir, clock=Clock())
+    oldest = sum(sorted((r["id"], r["size"]) for r in store.state.runs)[k][1] for k in range(3))
+    return run_rows(store, store.compact(policy.Tiered(hot_ttl_s=1 << 40, max_hot=3, small_bytes=1 << 50, max_output_bytes=oldest, cold_max_bytes=1 << 60)))
+
+
+def store_cold_evicted(spark, sf_dir):
+    """What is live after the two oldest runs have been promoted and evicted by age."""
+    clock = Clock()
+    store = stored(spark, sf_dir, clock=clock)
+    times = sorted(r["created"] for r in store.state.runs)
+    clock.now = times[1] + 10
+    options = policy.Tiered(hot_ttl_s=10, max_hot=100, small_bytes=1, max_output_bytes=1, cold_max_bytes=1 << 60, cold_ttl_s=10)
+    actions = [store.compact(options), store.compact(options)]
+    return values(store.live()).withColumn("actions", F.lit(" ".join(map(str, actions))))
+
+
+def store_cold_compacted(spark, sf_dir):
+    """What is live after all runs have been promoted and merged downwards, with the actions taken."""
+    clock = Clock()
+    store = stored(spark, sf_dir, clock=clock)
+    clock.now += 1000
+    actions = [store.compact(policy.Tiered(hot_ttl_s=10, max_hot=100, small_bytes=1, max_output_bytes=1, cold_max_bytes=1 << 60))]
+    actions += [store.compact(COLD, policy.Leveled(base_bytes=1, max_levels=3)) for _ in range(2)]
+    return values(store.live()).withColumn("actions", F.lit(" ".join(map(str, actions))))
 
 
 # ---------------------------------------------------------------- manifest and log
@@ -314,9 +457,12 @@ def value_kinds(spark, sf_dir):
 
 
 def value_bytes(spark, sf_dir):
-    """Tagged bytes of all kinds but doubles."""
-    rows = tagged(spark, sf_dir).where("v.kind IN ('String', 'bool', 'i64')")
-    return rows.select("event_id", F.hex(codec.encode(F.col("v"))).alias("data"))
+    """Tagged bytes of all kinds but doubles (DuckDB doesn't show a double's bytes; codec_roundtrip has these). Sign-ups give
+    a boolean, and their properties as bytes besides."""
+    rows = tagged(spark, sf_dir)
+    raw = table(spark, sf_dir, "events").where("event_type = 'signup'").select((-F.col("event_id") - 1).alias("event_id"), value_of("Bytes", F.col("props").cast("binary")).alias("v"))
+    rows = rows.where("v.kind <> 'f64'").unionByName(raw)
+    return rows.select("event_id", F.hex(codec.encode(F.col("v"))).alias("data"), codec.is_empty(F.lit(PUT), codec.encode(F.col("v"))).alias("empty"))
 
 
 def codec_roundtrip(spark, sf_dir):
@@ -377,6 +523,10 @@ def stream_latest(spark, sf_dir):
 
 SEGMENTS = """w AS (SELECT user_id % 16 AS stream, event_id AS seq, length(props) + 17 AS size, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS k FROM events)"""
 
+COLD_PICK = f"""due AS (SELECT level FROM (SELECT level, CAST(sum(size) AS BIGINT) / ({LEVELED.base_bytes}::DOUBLE * power({LEVELED.multiplier}::DOUBLE, level - 1)) AS score FROM files WHERE level >= 1 GROUP BY level)
+  WHERE level < {LEVELED.max_levels} AND score > 1 ORDER BY score DESC, level LIMIT 1),
+p5 AS (SELECT file_id FROM files WHERE level = (SELECT level FROM due) ORDER BY first_key, file_id LIMIT 1)"""
+
 SQL: dict[str, str] = {
     "kv_latest": f"WITH {LOG}, {LATEST} SELECT key, seq, value FROM latest WHERE NOT gone",
     "kv_get": f"WITH {LOG}, {LATEST} SELECT key, seq, value FROM latest WHERE NOT gone AND key = printf('%016X', {GET})",
@@ -402,13 +552,28 @@ SQL: dict[str, str] = {
     "fifo_hot_merge": f"WITH {FILES}, h AS (SELECT file_id, size, sum(size) OVER (ORDER BY file_id ROWS UNBOUNDED PRECEDING) AS s, count(*) OVER () AS n FROM files WHERE level = 0), k AS (SELECT file_id, n, min(CASE WHEN size <= {TIERED.small_bytes} AND s <= {TIERED.max_output_bytes} THEN 1 ELSE 0 END) OVER (ORDER BY file_id ROWS UNBOUNDED PRECEDING) AS ok FROM h) SELECT file_id FROM k WHERE n > {TIERED.max_hot} AND ok = 1 AND (SELECT count(*) FROM k WHERE ok = 1) >= 2",
     "compaction_apply": f"WITH {FILES}, s AS (SELECT min(first_key) AS lo, max(last_key) AS hi FROM files WHERE level = 0), gone AS (SELECT files.* FROM files, s WHERE level = 0 OR (level = 1 AND first_key <= hi AND last_key >= lo)) SELECT level, file_id, first_key, last_key, entries, size FROM files WHERE file_id NOT IN (SELECT file_id FROM gone) UNION ALL SELECT 1, 9000, min(first_key), max(last_key), CAST(sum(entries) AS BIGINT), CAST(sum(size) AS BIGINT) FROM gone HAVING count(*) > 0",
     "bloom_params": f"WITH {FILES}, b AS (SELECT file_id, entries, CAST(floor(-(entries::DOUBLE) * ln(0.01) / (ln(2) * ln(2))) AS BIGINT) AS bits FROM files) SELECT file_id, entries, bits, CAST(ceil(bits / 8.0) AS BIGINT) AS bytes, 10 AS bits_per_key, 6 AS probes FROM b",
-    "bloom_no_false_negative": f"WITH {FILES} SELECT file_id, count(DISTINCT key) AS n_keys, CAST(0 AS BIGINT) AS n_missed FROM rows_ GROUP BY file_id",
+    "bloom_probe": f"WITH {FILES} SELECT file_id, count(DISTINCT key) AS n_keys, CAST(0 AS BIGINT) AS n_missed, true AS few_others FROM rows_ GROUP BY file_id",
+    "run_names": f"WITH {FILES} SELECT file_id, printf('sst-%05d.sst', file_id) AS name FROM files",
+    "fifo_pick_cold": f"WITH {FILES}, {COLD_PICK} SELECT 'ColdCompact' AS action, file_id FROM p5",
+    "store_scan": f"WITH {LOG}, {LATEST} SELECT key, seq, value FROM latest WHERE NOT gone AND key BETWEEN printf('%016X', {LOW}) AND printf('%016X', {HIGH})",
+    "store_multi_get": f"WITH {LOG}, {LATEST} SELECT key, seq, value FROM latest WHERE NOT gone AND key IN (SELECT printf('%016X', c_custkey) FROM customer WHERE c_custkey % 10 = 0)",
+    "store_compacted": f"WITH {LOG}, {LATEST} SELECT key, seq, 'put' AS op, value FROM latest WHERE NOT gone",
+    "store_reopened": f"WITH {LOG}, {LATEST} SELECT key, value FROM latest WHERE NOT gone UNION ALL SELECT 'FFFF', 2.5::DOUBLE",
+    "store_promoted": f"WITH {RUNS} SELECT 'Promote' AS action, CASE WHEN t >= 2 THEN 1 ELSE 0 END AS level, count(*) AS entries FROM runs GROUP BY t",
+    "store_hot_merged": f"WITH {RUNS} SELECT 'HotMerge' AS action, 0 AS level, count(DISTINCT key) AS entries FROM runs GROUP BY t > 0",
+    "store_cold_evicted": f"WITH {TIER}, newer AS (SELECT key, seq, gone, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM tier WHERE t <= 1) WHERE rn = 1) SELECT key, seq, value, 'Promote ColdEvictTtl' AS actions FROM newer WHERE NOT gone",
+    "store_cold_compacted": f"WITH {LOG}, {LATEST} SELECT key, seq, value, 'Promote ColdCompact ColdCompact' AS actions FROM latest WHERE NOT gone",
     "manifest_live_files": "WITH o AS (SELECT o_orderkey AS k FROM orders), said AS (SELECT k * 10 + 1 AS pos, k AS file_id, 0 AS level, true AS alive FROM o WHERE k % 3 <> 0 UNION ALL SELECT k * 10 + 2, k - d, NULL, false FROM o, (VALUES (1), (2), (3), (4)) t(d) WHERE k % 10 = 0 UNION ALL SELECT k * 10 + 2, k + 1000000000, CAST(1 + k % 3 AS INT), true FROM o WHERE k % 10 = 0) SELECT file_id, level FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos DESC, alive DESC) AS rn FROM said) WHERE rn = 1 AND alive",
     "manifest_unflushed": "SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0",
     "manifest_next_id": "SELECT greatest(max(o_orderkey), coalesce(max(CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey + 1000000000 END), 0)) + 1 AS next_id FROM orders",
     "wal_replay_cut": "WITH e AS (SELECT event_id // 500 AS memtable_id, event_id % 500 AS pos, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, printf('%016X', user_id) AS key, props AS value FROM events), bad AS (SELECT memtable_id, min(pos) AS p FROM e WHERE pos = 300 AND memtable_id % 2 = 1 GROUP BY memtable_id), ok AS (SELECT e.* FROM e LEFT JOIN bad USING (memtable_id) WHERE p IS NULL OR pos < p) SELECT key, memtable_id, pos, op, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY memtable_id DESC, pos DESC) AS rn FROM ok) WHERE rn = 1",
     "value_kinds": "SELECT CASE event_type WHEN 'click' THEN 'f64' WHEN 'view' THEN 'String' WHEN 'purchase' THEN 'i64' WHEN 'signup' THEN 'bool' ELSE 'u64' END AS kind, count(*) AS n, CAST(sum(CASE event_type WHEN 'view' THEN 1 + strlen(props) WHEN 'signup' THEN 2 ELSE 9 END) AS BIGINT) AS bytes FROM events GROUP BY 1",
-    "value_bytes": "WITH n AS (SELECT event_id, lpad(hex(CAST(event_id - 5000 AS BIGINT)), 16, CASE WHEN event_id < 5000 THEN 'F' ELSE '0' END) AS h FROM events WHERE event_type = 'purchase') SELECT event_id, '01' || hex(props) AS data FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '0601' ELSE '0600' END FROM events WHERE event_type = 'signup' UNION ALL SELECT event_id, '04' || h[15:16] || h[13:14] || h[11:12] || h[9:10] || h[7:8] || h[5:6] || h[3:4] || h[1:2] FROM n",
+    "value_bytes": """WITH n AS (SELECT event_id, '04' AS tag, lpad(hex(CAST(event_id - 5000 AS BIGINT)), 16, CASE WHEN event_id < 5000 THEN 'F' ELSE '0' END) AS h FROM events WHERE event_type = 'purchase'
+  UNION ALL SELECT event_id, '05', lpad(hex(CAST(18446744073709551615 - event_id AS UBIGINT)), 16, '0') FROM events WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup')),
+d AS (SELECT event_id, '01' || hex(props) AS data FROM events WHERE event_type = 'view' UNION ALL SELECT -event_id - 1, '02' || hex(props) FROM events WHERE event_type = 'signup'
+  UNION ALL SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '0601' ELSE '0600' END FROM events WHERE event_type = 'signup'
+  UNION ALL SELECT event_id, tag || h[15:16] || h[13:14] || h[11:12] || h[9:10] || h[7:8] || h[5:6] || h[3:4] || h[1:2] FROM n)
+SELECT event_id, data, false AS empty FROM d""",
     "codec_roundtrip": "SELECT CASE event_type WHEN 'click' THEN 'f64' WHEN 'view' THEN 'String' WHEN 'purchase' THEN 'i64' WHEN 'signup' THEN 'bool' ELSE 'u64' END AS kind, count(*) AS n, CAST(0 AS BIGINT) AS n_differ FROM events GROUP BY 1",
     "memtable_running_size": "SELECT user_id % 16 AS stream, event_id AS seq, CAST(sum(length(props) + 17) OVER (PARTITION BY user_id % 16 ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM events",
     "memtable_freeze_segments": f"WITH RECURSIVE {SEGMENTS}, s AS (SELECT stream, k, size, size AS held, CAST(0 AS BIGINT) AS segment FROM w WHERE k = 1 UNION ALL SELECT w.stream, w.k, w.size, CASE WHEN s.held >= {FREEZE_BYTES} THEN w.size ELSE s.held + w.size END, s.segment + CASE WHEN s.held >= {FREEZE_BYTES} THEN 1 ELSE 0 END FROM s JOIN w ON w.stream = s.stream AND w.k = s.k + 1) SELECT stream, segment, count(*) AS entries, CAST(sum(size) AS BIGINT) AS bytes FROM s GROUP BY stream, segment",
@@ -421,7 +586,8 @@ SQL["fifo_pick"] = (
     + "p2 AS (" + SQL["fifo_cold_ttl"].split(FILES, 1)[1].strip() + "), "
     + "p3 AS (" + SQL["fifo_size_cap"].split(FILES, 1)[1].strip() + "), "
     + SQL["fifo_hot_merge"].split(FILES, 1)[1].strip().removeprefix(",").strip().replace(") SELECT file_id FROM k", "), p4 AS (SELECT file_id FROM k", 1)
-    + "), every AS (SELECT 0 AS rank, 'Promote' AS action, file_id FROM p1 UNION ALL SELECT 1, 'ColdEvictTtl', file_id FROM p2 UNION ALL SELECT 2, 'ColdEvictSize', file_id FROM p3 UNION ALL SELECT 3, 'HotMerge', file_id FROM p4) SELECT action, file_id FROM every WHERE rank = (SELECT min(rank) FROM every)"
+    + f"), {COLD_PICK}"
+    + ", every AS (SELECT 0 AS rank, 'Promote' AS action, file_id FROM p1 UNION ALL SELECT 1, 'ColdEvictTtl', file_id FROM p2 UNION ALL SELECT 2, 'ColdEvictSize', file_id FROM p3 UNION ALL SELECT 3, 'HotMerge', file_id FROM p4 UNION ALL SELECT 4, 'ColdCompact', file_id FROM p5) SELECT action, file_id FROM every WHERE rank = (SELECT min(rank) FROM every)"
 )
 
 
