@@ -67,6 +67,18 @@ def calibrated(margin: np.ndarray, y: np.ndarray, precision: float) -> float:
     return round(float(margin[order][k] + below) / 2, 6)
 
 
+def probability(margin: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve that gives the share of positives at a margin (Platt's way, with its targets
+    drawn in from 0 and 1)."""
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    x = np.stack([margin, np.ones(len(margin))], axis=1)
+    w = np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w - np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - target))
+    return round(max(float(w[0]), 1e-3), 6), round(float(w[1]), 6)
+
+
 def expression(trees: list, features: list[Column]) -> Column:
     """The sum of the trees over columns."""
 
