@@ -136,7 +136,7 @@ def encoded(column) -> Iterator[bytes]:
 
 
 #: Bytes of texts that a function works on at a time; batches that come with more are cut into slices.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def sliced(batches, at: int = 0, limit: int = SLICE_BYTES):
@@ -213,6 +213,7 @@ def with_computed(df: DataFrame, text_col: str, keep: list[str], fn, schema: str
 
         for rows, made in fn(map(pair, sliced(batches))):
             yield pa.RecordBatch.from_arrays([*rows, *made], names)
+        give_back()  # the worker waits beside stages that need the memory
 
     out = T.StructType([T.StructField(f"_k{i}", df.schema[c].dataType, True) for i, c in enumerate(keep)] + list(new))
     names = out.names

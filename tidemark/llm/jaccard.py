@@ -39,7 +39,7 @@ from .common import Scratch, chained, cut, encoded, give_back, mixed, require, s
 #: Text in a shard; a shingle is frequent if so many of a shard's distinct sets have it; how many frequent ones are shipped.
 SHARD_BYTES, FREQUENT, SHIPPED_FREQUENT = 6 << 20, 16, 2_000_000
 #: Postings in a bucket of the inverted prefixes, and from how many on it is fat; bytes of a block; seeds of a large one.
-BUCKET_POSTINGS, FAT_POSTINGS, BLOCK_BYTES, SEEDS = 1_000_000, 4_000_000, 32 << 20, 32
+BUCKET_POSTINGS, FAT_POSTINGS, BLOCK_BYTES, SEEDS = 300_000, 2_000_000, 32 << 20, 32
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -187,7 +187,10 @@ def inverted(docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) -
         lengths = np.diff(np.append(starts, len(pairs)))
         df = np.repeat(lengths, lengths)
         keep = df > 1
-        return pa.table({"v": pairs[keep, 1], "need": needs[keep], "df": df[keep], "token": pairs[keep, 0]})
+        made = pa.table({"v": pairs[keep, 1], "need": needs[keep], "df": df[keep], "token": pairs[keep, 0]})
+        del pairs, needs, order, new, df, keep, part
+        give_back()
+        return made
 
     def rows_of(batches):
         for batch in batches:

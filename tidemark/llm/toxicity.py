@@ -89,6 +89,7 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for text, label in zip(encoded(batch.column(0)), batch.column(1).to_pylist()):
                 totals[label, features(text, seen)] += 1
                 n[label] += 1
+        give_back()
         if n.any():
             blocks = [(label, b, totals[label, b * BLOCK : (b + 1) * BLOCK].tobytes()) for label in (0, 1) if n[label] for b in range(SIZE // BLOCK)]
             blocks += [(label, -1, n[label : label + 1].tobytes()) for label in (0, 1) if n[label]]
