@@ -130,9 +130,11 @@ def ascii_lower(c: Column) -> Column:
 
 
 def encoded(column) -> Iterator[bytes]:
-    """The values of an Arrow string column in UTF-8; null counts as empty."""
-    for x in column.to_pylist():
-        yield b"" if x is None else x.encode()
+    """The values of an Arrow string column in UTF-8, one at a time; null counts as empty."""
+    import pyarrow as pa
+
+    for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()):
+        yield x.as_py() or b""
 
 
 #: Bytes of texts that a function works on at a time; batches that come with more are cut into slices.

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, chained, cut, encoded, give_back, mixed, require, sliced, small, word_hashes
 
 #: Text in a shard; a shingle is frequent if so many of a shard's distinct sets have it; how many frequent ones are shipped.
-SHARD_BYTES, FREQUENT, SHIPPED_FREQUENT = 6 << 20, 16, 2_000_000
+SHARD_BYTES, FREQUENT, SHIPPED_FREQUENT = 4 << 20, 12, 2_000_000
 #: Postings in a bucket of the inverted prefixes, and from how many on it is fat; bytes of a block; seeds of a large one.
 BUCKET_POSTINGS, FAT_POSTINGS, BLOCK_BYTES, SEEDS = 300_000, 2_000_000, 32 << 20, 32
 
@@ -73,7 +73,8 @@ def prefix_size(n: int, num: int, den: int) -> int:
 
 
 def shards_of(batches, size: int):
-    """Lists of (row arrays, set) of whole documents, shard by shard."""
+    """Lists of (row arrays, set) of whole documents, shard by shard. A caller lets go of a shard before it asks for the next,
+    so that a worker holds one at a time."""
     rows, got, held = [], [], 0
     for batch in sliced(batches, limit=SHARD_BYTES):
         for text in encoded(batch.column(0)):
@@ -94,18 +95,21 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     the hash range is counted, as prefixes hardly reach beyond; any global order is a right one."""
     half = np.uint64(1 << 63)
 
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        seen, own = set(), []
+        for s in sets:
+            if len(s) and (d := digest(s)) not in seen:
+                seen.add(d)
+                own.append(s[: np.searchsorted(s, half)])
+        tokens, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        often = counts >= FREQUENT
+        total = sum(map(len, sets))
+        return pa.RecordBatch.from_arrays([pa.array([None, *tokens[often].view(np.int64)], pa.int64()), pa.array([total, *counts[often]], pa.int64())], ["token", "n"])
+
     def count(batches):
-        for _, sets in shards_of(batches, size):
-            seen, own = set(), []
-            total = 0
-            for s in sets:
-                total += len(s)
-                if len(s) and (d := digest(s)) not in seen:
-                    seen.add(d)
-                    own.append(s[: np.searchsorted(s, half)])
-            tokens, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = counts >= FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array([None, *tokens[often].view(np.int64)], pa.int64()), pa.array([total, *counts[often]], pa.int64())], ["token", "n"])
+        for rows, sets in shards_of(batches, size):
+            yield counted(sets)
+            del rows, sets
 
     sums = cut(docs.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     total = sums.where("token IS NULL").agg(F.sum("n")).first()[0] or 0
@@ -143,31 +147,36 @@ def inverted(docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) -
     buckets = max(8, int(total * (1 - num / den) * 1.5) // BUCKET_POSTINGS)
     id_type = docs.schema["id"].dataType.simpleString()
 
+    def of_documents(rows: list, sets: list[np.ndarray], keys: list[tuple[int, int]]) -> pa.RecordBatch:
+        ids, texts = (pa.concat_arrays([r[i] for r in rows]) for i in (0, 1))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        v, u = (pa.array(np.array(x, np.int64), mask=sizes == 0) for x in zip(*keys))
+        none = [pa.nulls(len(ids), t) for t in (pa.int32(), pa.int32(), pa.binary())]
+        return pa.RecordBatch.from_arrays([ids, texts, pa.array(sizes), v, u, *none], names)
+
+    def of_buckets(sets: list[np.ndarray], v: list[int], id_type: pa.DataType, frequent: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+        parts = [prefix(s, prefix_size(len(s), num, den), frequent, rank) for s in sets]
+        lengths = [len(p) for p in parts]
+        tokens = np.concatenate(parts)
+        need = np.repeat(np.array([shared_least(overlap(len(s), num, den), num, den) for s in sets], np.int32), lengths)
+        bucket = (mixed(tokens) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        filled, cuts = np.unique(bucket[order], return_index=True)  # those that this shard has, however many there are
+        cuts = [*cuts.tolist(), len(order)]
+        data, need = np.stack((tokens.view(np.int64), np.repeat(np.array(v, np.int64), lengths)), axis=1)[order], need[order]
+        blobs = [data[a:b].tobytes() + need[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        nulls = [pa.nulls(len(filled), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*nulls, pa.array(filled, pa.int32()), pa.array(np.diff(cuts), pa.int32()), pa.array(blobs, pa.binary())], names)
+
     def invert(batches):
-        frequent, rank = shipped.value
         seen: set[tuple[int, int]] = set()  # a task writes the postings of a class once
         for rows, sets in shards_of(batches, size):
-            ids, texts = (pa.concat_arrays([r[i] for r in rows]) for i in (0, 1))
             keys = [digest(s) if len(s) else (0, 0) for s in sets]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            v, u = (np.array(x, np.int64) for x in zip(*keys))
-            firsts = [k for k, key in enumerate(keys) if sizes[k] and not (key in seen or seen.add(key))]
-            none = [pa.nulls(len(ids), t) for t in (pa.int32(), pa.int32(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([ids, texts, pa.array(sizes), pa.array(v, mask=sizes == 0), pa.array(u, mask=sizes == 0), *none], names)
-            if not firsts:
-                continue
-            parts = [prefix(sets[k], prefix_size(len(sets[k]), num, den), frequent, rank) for k in firsts]
-            lengths = [len(p) for p in parts]
-            tokens = np.concatenate(parts)
-            need = np.repeat(np.array([shared_least(overlap(len(sets[k]), num, den), num, den) for k in firsts], np.int32), lengths)
-            bucket = (mixed(tokens) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            filled, cuts = np.unique(bucket[order], return_index=True)  # those that this shard has, however many there are
-            cuts = [*cuts.tolist(), len(order)]
-            data, need = np.stack((tokens.view(np.int64), np.repeat(v[firsts], lengths)), axis=1)[order], need[order]
-            blobs = [data[a:b].tobytes() + need[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-            nulls = [pa.nulls(len(filled), t) for t in (ids.type, pa.int64(), pa.int64(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*nulls, pa.array(filled, pa.int32()), pa.array(np.diff(cuts), pa.int32()), pa.array(blobs, pa.binary())], names)
+            yield of_documents(rows, sets, keys)
+            firsts = [k for k, key in enumerate(keys) if len(sets[k]) and not (key in seen or seen.add(key))]
+            if firsts:
+                yield of_buckets([sets[k] for k in firsts], [keys[k][0] for k in firsts], rows[0][0].type, *shipped.value)
+            del rows, sets, keys, firsts
 
     names = ["id", "t", "n", "v", "u", "bucket", "k", "blob"]
     both = scratch.keep("prefixes", docs.mapInArrow(invert, f"id {id_type}, t long, n long, v long, u long, bucket int, k int, blob binary"))
