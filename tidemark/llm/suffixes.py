@@ -143,14 +143,17 @@ class Shard:
 def search(docs: list[bytes], tests: TestSuffixes) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]], list[tuple[int, int, int, int]]]:
     """For each document its number of words, merged spans of hit words and the names of the items that occur; and for
     the shard (test suffix, words, document, word) of the longest matches that reach a window."""
-    split = [words_of(t) for t in docs]
-    counts = np.array([len(w) for w in split], np.int64)
+    get = tests.vocabulary.get
+    numbers = []
+    for t in docs:  # the words of one document at a time
+        words = words_of(t)
+        numbers.append(np.fromiter(map(get, words, repeat(0)), np.int32, len(words)))
+    counts = np.array([len(x) for x in numbers], np.int64)
     ids = np.zeros(int(counts.sum()) + len(docs) + 1, np.int64)
     ends = np.cumsum(counts + 1)
     begins = ends - counts - 1
-    get = tests.vocabulary.get
-    for b, n, words in zip(begins, counts, split):
-        ids[b : b + n] = np.fromiter(map(get, words, repeat(0)), np.int64, n)
+    for b, x in zip(begins, numbers):
+        ids[b : b + len(x)] = x
     spans: list[list[tuple[int, int]]] = [[] for _ in docs]
     names: list[list[str]] = [[] for _ in docs]
     matches: list[tuple[int, int, int, int]] = []
