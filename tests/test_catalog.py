@@ -32,3 +32,21 @@ def test_query_equals_sql(spark, db, name):
     assert got == rows(columns, want.fetchall())
     if name not in ("kv_scan_empty", "kv_get_deleted", "compaction_invariant"):
         assert got[1] or name.startswith("fifo")
+
+
+def equals_sql(spark, path, name, users):
+    """Compare a query with its SQL on a log of the given users, an event each."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT CAST(k AS BIGINT) AS event_id, TIMESTAMP '2024-01-01' + to_seconds(k) AS ts, CAST(u AS BIGINT) AS user_id, 'view' AS event_type, 1.5::DOUBLE AS value, 'p' AS props FROM (SELECT unnest(range(len($u))) AS k, unnest($u) AS u)", {"u": users})
+    con.execute(f"COPY events TO '{path}/events.parquet' (FORMAT parquet)")
+    df = catalog.queries()[name](spark, str(path))
+    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    want = con.execute(catalog.oracle_sql()[name])
+    assert got == rows([c[0] for c in want.description], want.fetchall())
+    return [dict(zip(got[0], r)) for r in got[1]]
+
+
+def test_compaction_of_files_that_share_a_number(spark, tmp_path):
+    # The oldest quarter makes files 3000 and 3004 of level 2, the middle ones files 3000 and 2000 of level 1.
+    got = equals_sql(spark, tmp_path, "compaction_apply", [0, 100, 10_000, 10_001, 10_002, 5, 0, 20_000])
+    assert {(r["level"], r["file_id"]): r["entries"] for r in got} == {(1, 9000): 6, (2, 3004): 1}

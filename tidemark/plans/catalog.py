@@ -225,7 +225,9 @@ def compaction_apply(spark, sf_dir):
     """Metadata after merging all of level 0 and the overlapping files of level 1 into file 9000 of level 1."""
     m = files(spark, sf_dir)
     gone = policy.level0_task(m)
-    inputs = m.join(gone.select("file_id"), "file_id", "left_semi")
+    # Files of different levels may share a number, so a file is one by level and number; what goes goes by number.
+    merged = gone.select(F.when(F.col("side") == "input", 0).otherwise(1).alias("level"), "file_id")
+    inputs = m.join(merged, ["level", "file_id"], "left_semi")
     made = inputs.agg(F.lit(1).alias("level"), F.lit(9000).cast("bigint").alias("file_id"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"), F.sum("entries").alias("entries"), F.sum("size").alias("size"), F.max("created_at").alias("created_at"))
     after = policy.applied(m, gone, made.where("entries IS NOT NULL"))
     return after.select("level", "file_id", F.hex("first_key").alias("first_key"), F.hex("last_key").alias("last_key"), "entries", "size")
