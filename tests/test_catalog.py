@@ -50,3 +50,16 @@ def test_compaction_of_files_that_share_a_number(spark, tmp_path):
     # The oldest quarter makes files 3000 and 3004 of level 2, the middle ones files 3000 and 2000 of level 1.
     got = equals_sql(spark, tmp_path, "compaction_apply", [0, 100, 10_000, 10_001, 10_002, 5, 0, 20_000])
     assert {(r["level"], r["file_id"]): r["entries"] for r in got} == {(1, 9000): 6, (2, 3004): 1}
+
+
+def test_bloom_probe_is_not_left_to_chance(spark, tmp_path):
+    # Files 2000 + 16840 / 10 and 3000 + 17100 / 25 share number 3684: a filter of 35 keys, of which too many of 35 others passed.
+    users = [*range(17_100, 17_125), *[1] * 5, *range(16_840, 16_850), *[16_841] * 50, *[7] * 30]
+    got = equals_sql(spark, tmp_path, "bloom_probe", users)
+    assert {r["file_id"]: r["n_keys"] for r in got}[3684] == 35 and {r["n_keys"] for r in got} == {1, 35}
+
+
+def test_bloom_probe_of_many_keys(spark, tmp_path):
+    # Files of level 0 with more keys than the least number of others, beside small ones of every level.
+    got = equals_sql(spark, tmp_path, "bloom_probe", [k % 5_003 for k in range(40_000)])
+    assert max(r["n_keys"] for r in got) > catalog.OTHERS > min(r["n_keys"] for r in got)

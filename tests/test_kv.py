@@ -172,6 +172,19 @@ def test_bloom_sizes_and_probes(spark):
     assert missing.count() == 0
 
 
+def test_small_bloom_filters_pass_few_others(spark):
+    size = lambda n: bloom.stored_bits(bloom.parameters(n)["bits"])
+    assert [r[0] for r in spark.createDataFrame([(1,), (6,), (7,), (1000,)], "n long").select(size(F.col("n"))).collect()] == [64, 64, 128, 9600]
+    filters = spark.range(1, 21).select(F.col("id").alias("n"), size(F.col("id")).alias("bits"))
+    own = filters.select("n", "bits", F.explode(F.sequence(F.lit(1), "n")).alias("k")).select("n", "bits", F.concat(F.lit("own "), F.col("k")).cast("binary").alias("key"))
+    at = own.select("n", "bits", F.explode(bloom.probes(F.col("key"), F.col("bits"), 6)).alias("bit")).groupBy("n", "bits", bloom.word_of(F.col("bit")).alias("w")).agg(F.bit_or(bloom.bit_in_word(F.col("bit"))).alias("b"))
+    words = at.groupBy("n", "bits").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("words")).cache()
+    passes = bloom.may_contain(F.col("words"), F.col("key"), F.col("bits"), 6)
+    assert own.join(words, ["n", "bits"]).where(~passes).count() == 0
+    others = words.select("n", "bits", "words", F.explode(F.sequence(F.lit(1), F.lit(2000))).alias("k")).withColumn("key", F.concat(F.lit("other "), F.col("k")).cast("binary"))
+    assert [r.n for r in others.where(passes).groupBy("n").count().where("count > 100").collect()] == []
+
+
 def test_segments_reset(spark):
     rows = spark.createDataFrame([(0, k, s) for k, s in enumerate([5, 5, 1, 20, 3, 3, 3])], "stream int, seq bigint, size bigint")
     freeze = [r.segment for r in segments(rows, 10).orderBy("seq").collect()]

@@ -6,7 +6,9 @@ of words: of bit position p the word number is p / 64 and the bit p % 64.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,10 +26,26 @@ def parameters(n: Column) -> Column:
     return F.struct(bits.cast("bigint").alias("bits"), F.ceil(bits / 8).cast("bigint").alias("bytes"), per_key.cast("int").alias("bits_per_key"), probes.alias("probes"))
 
 
+def stored_bits(bits: Column) -> Column:
+    """Bits of a filter in whole words, as it is stored. Probes use them all: modulo an odd number strides lose their
+    oddness, and modulo a few bits probes of a key fall together (a filter of one key in 9 bits passes 9 in 100)."""
+    return (F.ceil(bits / 64) * 64).cast("bigint")
+
+
+def probe(key: Column, bits: Column, i: Column) -> Column:
+    h1, h2 = F.xxhash64(key), F.xxhash64(F.lit(1), key).bitwiseOR(F.lit(1))
+    return F.pmod(F.pmod(h1, bits) + i * F.pmod(h2, bits), bits)
+
+
 def probes(key: Column, bits: Column, k: int) -> Column:
     """The k bit positions of a key."""
-    h1, h2 = F.xxhash64(key), F.xxhash64(F.lit(1), key).bitwiseOR(F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(F.pmod(h1, bits) + i * F.pmod(h2, bits), bits))
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: probe(key, bits, i))
+
+
+def may_contain(words: Column, key: Column, bits: Column, k: int) -> Column:
+    """Whether a filter, as a map of its words without those of no bit, passes a key."""
+    at = [probe(key, bits, F.lit(i)) for i in range(k)]
+    return functools.reduce(operator.and_, [is_set(words[word_of(p)], p) for p in at])
 
 
 def word_of(position: Column) -> Column:
