@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from raw documents to encoded ones.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; all but the last return the columns of documents, with their
-values (line dedup changes text and n_chars).
+values (line dedup changes text and n_chars). Stages that use Python exchange batches of bounded bytes with it, as their
+executors serve one stage after the other.
 
 Defined results: null and empty texts aren't toxic, have no lines, shingles or windows, and encode to no ids; texts of any
 length are taken whole; of rows that repeat, lines of the first stay, and of a group of near copies the one of the smallest
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, lines, pieces, suffixes, toxicity
-from tidemark.llm.common import Scratch, cut, unused
+from tidemark.llm.common import Scratch, cut, in_small_batches, unused
 from tidemark.llm.queries import table, tokenizer_model
 
 #: SQL can't express the classifier and the encoder.
@@ -27,7 +28,8 @@ WORD = r"[^\x20\x09-\x0D]"
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+    docs = in_small_batches(docs)
+    return toxicity.reject_toxic(docs, table(docs.sparkSession, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,17 +44,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share five-word shingles with a Jaccard similarity of 0.8 or more, one of each group stays."""
-    return jaccard.keep_one(docs, size=5, num=80, den=100)
+    return jaccard.keep_one(in_small_batches(docs), size=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of the benchmark go."""
-    return suffixes.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    docs = in_small_batches(docs)
+    return suffixes.decontaminate(docs, table(docs.sparkSession, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, with digests of them and of the decoded text."""
-    return pieces.encode_decode(docs, tokenizer_model(), digests=True).drop("decoded")
+    return pieces.encode_decode(in_small_batches(docs), tokenizer_model(), digests=True).drop("decoded")
 
 
 STAGES = [

@@ -167,3 +167,53 @@ def test_line_dedup_keeps_documents_with_words_left(spark):
     docs = [(1, license, "en", "s", 1), (2, "\n".join([mine] * 5), "en", "s", 1), (3, f"{license}\n{body}", "en", "s", 1), (4, copied, "en", "s", 1), (5, f" \n{copied}\n", "en", "s", 1), (6, " \n", "en", "s", 1), (7, None, None, None, None)]
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(docs, DOCS), "").collect()}
     assert got == {1: (license, len(license)), 2: (mine, len(mine)), 3: (body, len(body)), 4: (copied, len(copied)), 6: (" \n", 2), 7: (None, None)}
+
+
+def test_pipeline_stages_exchange_small_batches(spark, tmp_path, monkeypatch):
+    """No Arrow batch of a stage, in or out, is much larger than BATCH_BYTES; the session keeps its settings."""
+    from pyspark import RDD
+    from pyspark.sql import SparkSession
+
+    from tidemark.llm import common
+
+    spark.createDataFrame([(i, f"{i} " + f"w{i} of the text\n" * 3000, "en", "s", 1) for i in range(120)], DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"label-{i}", i % 2) for i in range(0)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sizes, frame = f"{tmp_path}/sizes", type(spark.range(0))
+    kept = frame.mapInArrow
+
+    def watched(self, fn, schema, *rest):
+        def run(batches):
+            def note(batch):
+                with open(sizes, "a") as f:
+                    f.write(f"{batch.nbytes}\n")
+                return batch
+
+            yield from map(note, fn(map(note, batches)))
+
+        return kept(self, run, schema, *rest)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    setting, to_df = "spark.sql.execution.arrow.maxBytesPerBatch", RDD.toDF
+    before = spark.conf.get(setting)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "line_dedup":
+            continue
+        open(sizes, "w").close()
+        assert stage(spark, docs, str(tmp_path)).count() > 0
+        found = list(map(int, open(sizes)))
+        assert sum(found) > 5_000_000 or name == "toxicity" and not found
+        assert max(found, default=0) < 1.5 * common.BATCH_BYTES, name
+    assert spark.conf.get(setting) == before and SparkSession.getActiveSession().conf.get(setting) == before and RDD.toDF is to_df
+
+
+def test_batches_in_pieces():
+    import pyarrow as pa
+
+    from tidemark.llm.common import in_pieces
+
+    rows = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 50 + [None, ""])], ["text"])
+    cut = list(in_pieces(rows, 5000))
+    assert pa.Table.from_batches(cut).to_pylist() == rows.to_pylist() and max(b.nbytes for b in cut) <= 6000
+    assert [b.num_rows for b in in_pieces(rows.slice(0, 0))] == [0] and [b.num_rows for b in in_pieces(rows)] == [52]

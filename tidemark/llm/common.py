@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,6 +157,29 @@ def sliced(batches, at: int = 0, limit: int = SLICE_BYTES):
             yield batch.slice(a, b - a)
 
 
+#: Bytes of an Arrow batch between Spark and Python in a pipeline, either way.
+BATCH_BYTES = 1 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df in a copy of its session, where Arrow batches end at BATCH_BYTES; what is derived from it runs there too, and df's own
+    session keeps its settings. Spark's default is 64 MB a batch: each task fills buffers of that size, and what it frees stays with
+    the executor's C library in pieces, a stage's beside the other's."""
+    session, to_df = df.sparkSession, RDD.toDF
+    own = SparkSession(session.sparkContext, session._jsparkSession.cloneSession())
+    RDD.toDF = to_df  # creating a session ties this method to it
+    limit = own._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(min(limit, BATCH_BYTES) if limit > 0 else BATCH_BYTES))
+    return DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed()), own)
+
+
+def in_pieces(batch, limit: int = BATCH_BYTES):
+    """A record batch as slices of about limit bytes."""
+    rows = max(1, batch.num_rows * limit // max(batch.nbytes, limit))
+    for a in range(0, max(batch.num_rows, 1), rows):
+        yield batch.slice(a, rows)
+
+
 def require(df: DataFrame, *names: str) -> None:
     """Check that df has these columns."""
     missing = [n for n in names if n not in df.columns]
@@ -214,7 +238,7 @@ def with_computed(df: DataFrame, text_col: str, keep: list[str], fn, schema: str
             return (rows if own < 0 else [*rows[:own], b.column(0), *rows[own:]]), b.column(0)
 
         for rows, made in fn(map(pair, sliced(batches))):
-            yield pa.RecordBatch.from_arrays([*rows, *made], names)
+            yield from in_pieces(pa.RecordBatch.from_arrays([*rows, *made], names))
         give_back()  # the worker waits beside stages that need the memory
 
     out = T.StructType([T.StructField(f"_k{i}", df.schema[c].dataType, True) for i, c in enumerate(keep)] + list(new))

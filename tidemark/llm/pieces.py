@@ -34,9 +34,9 @@ from .common import require, with_computed, worker_state
 
 SPACE = "▁"
 #: Distinct words that a Python worker remembers in each of two generations, and the longest word remembered.
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 100_000, 48
 #: Parts of up to so many characters run their agendas in a matrix, of so many rows.
-SHORT, ROWS = 48, 8192
+SHORT, ROWS = 48, 2048
 #: Parts in a call of the library.
 COMPARED = 256
 NEVER = np.float32(np.inf)
