@@ -137,18 +137,24 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch,
     variants = scratch.keep("variants", variants)
     twice = cut(variants.groupBy("v").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("v"))
     me = F.struct(place.alias("first"), F.struct("a", "b").alias("k"))
-    variants = cut(variants.join(few(twice), "v").select("v", "i", me.alias("me")))
+    variants = scratch.keep("met", variants.join(few(twice), "v").select("v", "i", me.alias("me")))
+
+    # Each way to meet is written by a run of its own: a plan of all of them would start its many stages at once, and the
+    # driver's heap grows by what each start takes. Lines that meet in two ways would differ in size both ways, so these
+    # don't repeat each other's pairs.
+    def pairs(name: str, found: DataFrame) -> DataFrame:
+        earlier = found.where(F.col("lead.first") < F.col("me.first"))
+        return scratch.keep(name, earlier.select("me.k.a", "me.k.b", F.col("lead.k.a").alias("a2"), F.col("lead.k.b").alias("b2")).distinct())
 
     gone, whole = variants.where("i > 0"), variants.where("i = 0").select("v", F.col("me").alias("full"))
     by_place = gone.groupBy("v", "i").agg(F.min("me").alias("lead"), F.max("me").alias("tail")).where("lead <> tail").select("v", "i", "lead")
-    substituted = gone.join(by_place, ["v", "i"]).select("me", "lead")
-    shorter = gone.join(whole, "v").select("me", F.col("full").alias("lead"))
-    longer = whole.join(gone.groupBy("v").agg(F.min("me").alias("lead")), "v").select(F.col("full").alias("me"), "lead")
-    pairs = substituted.unionByName(shorter).unionByName(longer).where(F.col("lead.first") < F.col("me.first"))
-    pairs = pairs.select("me.k.a", "me.k.b", F.col("lead.k.a").alias("a2"), F.col("lead.k.b").alias("b2")).distinct()
+    substituted = pairs("substituted", gone.join(by_place, ["v", "i"]).select("me", "lead"))
+    shorter = pairs("shorter", gone.join(whole, "v").select("me", F.col("full").alias("lead")))
+    longer = pairs("longer", whole.join(gone.groupBy("v").agg(F.min("me").alias("lead")), "v").select(F.col("full").alias("me"), "lead"))
     theirs = lines.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("words").alias("their_words"))
-    met = pairs.join(lines.select("a", "b", "words"), ["a", "b"]).join(theirs, ["a2", "b2"])
-    near_copies = met.where((n >= fuzzy_words) & one_edit(F.col("words"), F.col("their_words"))).select("a", "b").distinct().withColumn("near", F.lit(True))
+    met = substituted.unionByName(shorter).unionByName(longer).join(lines.select("a", "b", "words"), ["a", "b"]).join(theirs, ["a2", "b2"])
+    near_copies = met.where((n >= fuzzy_words) & one_edit(F.col("words"), F.col("their_words"))).select("a", "b").distinct()
+    near_copies = scratch.keep("near", near_copies).withColumn("near", F.lit(True))
 
     # Only lines that occur again or are near copies can have places to remove.
     some = cut(firsts.join(near_copies, ["a", "b"], "left").where("copies > 1 OR near").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near")))
