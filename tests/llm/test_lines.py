@@ -137,3 +137,15 @@ def test_long_lines_and_clashing_columns(spark):
     assert {r.doc_id for r in rows if r.n_removed} == {1, 2, 3, 6, 8}
     assert rows[0].asDict().keys() == {"doc_id", "text", "_t", "_gone", "_id", "_R", "words", "n_removed"}
     assert {(r._t, r._gone, r._id, r._R, r.words) for r in rows} == {("a", "b", "c", "d", "f")}
+
+
+def test_no_plan_starts_many_stages(spark):
+    """The driver's heap grows by what each stage takes that one plan starts beside others."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    docs = spark.createDataFrame([(i, f"one two three four five six w{i % 3}\nalone {i}") for i in range(12)], "doc_id long, text string")
+    before = store.executionsCount()
+    lines.dedup_lines(docs).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    jobs = [runs.apply(k).jobs().size() for k in range(int(before), runs.size())]
+    assert len(jobs) > 8 and max(jobs) <= 9, jobs

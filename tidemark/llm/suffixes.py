@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import encoded, require, sliced, unused, with_computed
 
 WINDOW = 10
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
 
 #: Bytes of a word: digits, a-z and all of other scripts; A-Z count as a-z, the rest separates.
